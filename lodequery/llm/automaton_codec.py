@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import WS, map_columns
+from .common import WS, map_columns, only
 from .merges import byte_chars, load
 
-MEMO, MEMO_CHARS = 300_000, 64
+MEMO, MEMO_CHARS = 600_000, 64
 UNIT = re.compile(f"[^{WS}]+")
 #: The vocabulary's words (a fixed value), and the same over lower-case ASCII.
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WS}\p{{L}}\p{{N}}]+")
+#: A word and ASCII marks behind it: they can't touch, as no apostrophe is among the marks.
+_ENDED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)\Z")
+_CONTROL = re.compile(r"[\x1c-\x1f]")
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+|[\x1c-\x1f]+")
 
 
@@ -37,8 +40,8 @@ class Codec:
         self.memo: dict[str, tuple[bytes, str]] = {}
 
     def _words(self, part: str) -> list[int]:
-        if part.isascii() and not any(c in part for c in "\x1c\x1d\x1e\x1f"):
-            words = _ASCII.findall(part.lower())
+        if part.isascii() and not _CONTROL.search(part):
+            words = [part.lower()] if part.isalpha() else _ASCII.findall(part.lower())
         else:
             words = WORD.findall(self.normal(part))
         out: list[int] = []
@@ -47,11 +50,20 @@ class Codec:
         return out
 
     def unit(self, unit: str) -> tuple[bytes, str]:
+        m = _ENDED.match(unit)
+        if m and (m[1].isascii() or self.normal(m[1]).isalpha()) and m[1].isalpha():
+            (a, x), (b, y) = self._get(m[1]), self._get(m[2])
+            return self._keep(unit, (a + b, f"{x} {y}"))
         ids: list[int] = []
         for k, part in enumerate(self.split.split(unit) if self.split and "<" in unit else [unit]):
             if part:
                 ids += [self.special[part]] if k % 2 else self._words(part)
-        got = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.label[k] for k in ids])
+        return self._keep(unit, (struct.pack(f"<{len(ids)}I", *ids), " ".join([self.label[k] for k in ids])))
+
+    def _get(self, unit: str) -> tuple[bytes, str]:
+        return self.memo.get(unit) or self.unit(unit)
+
+    def _keep(self, unit: str, got: tuple[bytes, str]) -> tuple[bytes, str]:
         if len(unit) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
@@ -84,6 +96,7 @@ def encode_decode(df: DataFrame, vocab: str, text: str = "text", keep: list[str]
 
     def make():
         c = codec(vocab)
+        only("codec", c.memo.clear)
 
         def f(texts):
             out: list[list] = [[] for _ in new]

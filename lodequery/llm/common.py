@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,47 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+_memories: dict[str, object] = {}
+
+
+def only(name: str, forget) -> None:
+    """Called where a task of an operator starts: what other operators remember in this worker is dropped by their ``forget``."""
+    for other in [k for k in _memories if k != name]:
+        _memories.pop(other)()
+    _memories[name] = forget
+
+
+#: Bits of an id filter at most: 8 MB. Beyond, more rows pass than are needed, and a join still decides.
+FILTER_BITS = 1 << 26
+
+
+def id_filter(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A one-hash Bloom filter of about ``n`` ids (column id): its words, at most FILTER_BITS / 64, and its bits."""
+    bits = max(64, min(FILTER_BITS, 1 << (16 * max(n, 1) - 1).bit_length()))
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select(F.floor(at / 64).cast("int").alias("w"), F.expr("1L").alias("one"), (at % 64).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("m")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
+    return out, bits
+
+
+def split_by_filter(df: DataFrame, doc_id: str, words: np.ndarray, bits: int, inside: bool) -> DataFrame:
+    """The rows of ``df`` whose id may be in the filter, or (``inside`` false) those whose id is surely not; null ids are not."""
+    at = free_name(df, "lq_at")
+    passed = df.sparkSession.sparkContext.broadcast(words)
+    cols = [f"`{c}`" for c in df.columns]
+    rows = df.withColumn(at, F.when(F.col(doc_id).isNotNull(), F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(bits))).otherwise(F.lit(-1))).select(*cols, at)
+
+    def run(batches):
+        has = passed.value
+        for b in batches:
+            k = b.column(b.num_columns - 1).to_numpy()
+            hit = ((has[np.maximum(k, 0) >> 6] >> (k & 63).astype(np.uint64)) & np.uint64(1) == 1) & (k >= 0)
+            yield b.select(list(range(b.num_columns - 1))).filter(pa.array(hit if inside else ~hit))
+
+    return rows.mapInArrow(run, df.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that no model may learn from: crc32 of the id as text leaves 1 when divided by 3. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))

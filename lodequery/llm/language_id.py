@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 import uuid
 from collections import Counter, defaultdict
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, map_columns
+from .common import held_out, map_columns, only
 
 #: Labelled texts that a language is learned from, about (the documented bound), and the characters read of one word.
 TRAIN_TEXTS, WORD_CHARS, ROUNDS = 150, 40, 2
@@ -167,27 +166,22 @@ def train(df: DataFrame, vocab: str, text: str = "text", lang: str = "lang", doc
 _memo: dict = {"key": None}
 
 
-def _state(model: Model):
-    if _memo["key"] != model.key:
-        _memo.clear()
-        _memo.update(key=model.key, at={}, rows=[])
-    return _memo
-
-
 class Predictor:
     """Sums words' log probabilities; words are remembered over batches and tasks of a worker."""
 
     def __init__(self, model: Model):
-        self.model, self.state = model, _state(model)
-        self.table = np.array(self.state["rows"], np.float64).reshape(len(self.state["rows"]), len(model.langs))
+        self.model = model
+        if _memo["key"] != model.key:
+            _memo.clear()
+            _memo.update(key=model.key, at={}, table=np.empty((0, len(model.langs))))
+        only("language", lambda: _memo.update(key=None, at={}, table=None))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        at, rows, model = self.state["at"], self.state["rows"], self.model
-        if len(rows) > MEMO:
-            at.clear()
-            rows.clear()
-            self.table = self.table[:0]
-        get, ids, sizes = at.get, [], []
+        model = self.model
+        if len(_memo["at"]) > MEMO:
+            _memo.update(at={}, table=np.empty((0, len(model.langs))))
+        at, base = _memo["at"], len(_memo["table"])
+        get, new, ids = at.get, [], []
         for t in texts:
             words = words_of(t) if t else []
             got = list(map(get, words))
@@ -197,20 +191,20 @@ class Predictor:
                         w = words[k]
                         g = get(w)
                         if g is None:
-                            g = at[w] = len(rows)
-                            rows.append(model.forward(w))
+                            g = at[w] = base + len(new)
+                            new.append(model.forward(w))
                         got[k] = g
             ids.append(np.array(got, np.int64))
-            sizes.append(len(got))
-        if len(rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(rows[len(self.table) :]).reshape(-1, len(model.langs))])
+        if new:
+            _memo["table"] = np.concatenate([_memo["table"], np.array(new).reshape(-1, len(model.langs))])
+        table = _memo["table"]
         langs, scores = [], []
-        for k, n in zip(ids, sizes, strict=True):
-            if not n or not model.langs:
+        for k in ids:
+            if not len(k) or not model.langs:
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            s = self.table[k].sum(0)
+            s = table[k].sum(0)
             best = int(s.argmax())
             langs.append(model.langs[best])
             scores.append(float(1.0 / np.exp(np.clip(s - s[best], -700, 0)).sum()))
@@ -231,8 +225,3 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
         return Predictor(shared.value).predict
 
     return map_columns(df, [text], [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make, keep)
-
-
-def has_letter(text: str | None) -> bool:
-    """Any character of the Unicode categories L*."""
-    return any(unicodedata.category(c)[0] == "L" for c in text or "")

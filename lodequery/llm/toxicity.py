@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, map_columns
+from .common import held_out, map_columns, only
 
 ORDER, DECAY = 4, 0.6
 #: Landmarks at most, and the least share of toxic texts that hold one.
@@ -235,6 +235,7 @@ class Scorer:
         if _memo["key"] != model.key:
             _memo.clear()
             _memo.update(key=model.key, words={})
+        only("toxicity", lambda: _memo.update(key=None, words={}))
         self.words: dict[str, tuple] = _memo["words"]
         self.empty = model.probability(model.bias)
 
