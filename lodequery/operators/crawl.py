@@ -60,7 +60,7 @@ def select_to_fetch(pages: DataFrame, cfg: Config = Config()) -> DataFrame:
     return rows.withColumn("to_fetch", wanted & accepted(F.col("url"))).drop("least_priority")
 
 
-def too_many_retries(cfg: Config, distance: Column = F.lit(0), retries: Column | None = None, inlinks: Column | None = None) -> Column:
+def too_many_retries(cfg: Config, distance: Column, retries: Column, inlinks: Column) -> Column:
     """Beyond the table of distances, or more retries than its entry without an inlink (CRW3)."""
     table = [cfg.max_retries[min(k, len(cfg.max_retries) - 1)] for k in range(cfg.max_distance + 1)]
     most = F.element_at(F.array(*[F.lit(x) for x in table]), F.least(distance + 1, F.lit(len(table))).cast("int"))
@@ -140,11 +140,12 @@ def trim(records: DataFrame, web_size: DataFrame, cfg: Config = Config()) -> Dat
     )
 
 
-def keep_pages(pages: DataFrame, cycles: int, cfg: Config = Config(), hotspot: Column = F.lit(True)) -> DataFrame:
+def keep_pages(pages: DataFrame, cycles: int, cfg: Config = Config(), hotspot: Column | None = None) -> DataFrame:
     """The pages that stay (CRW10, A1); counters follow the order of the URL's hash.
 
     Only the frontier is ordered: a bounded top-k, where its size is set.
     """
+    hotspot = F.lit(True) if hotspot is None else hotspot
     first = cycles - cfg.max_distance - 1
     wave = first == 0 if cfg.wave_period == 0 else first % cfg.wave_period == 0
     d = F.col("distance")
@@ -176,11 +177,11 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int, damping: float = D
     return scores
 
 
-def merge_tables(first: DataFrame, second: DataFrame, key: Column = F.md5("url")) -> DataFrame:
+def merge_tables(first: DataFrame, second: DataFrame, key: Column | None = None) -> DataFrame:
     """Both tables, one page a hash; where both have it, the first table's stays (CRW12)."""
     both = first.withColumn("lq_src", F.lit(1)).unionByName(second.withColumn("lq_src", F.lit(2)))
     rest = F.struct(*first.columns)
-    return both.groupBy(key.alias("lq_hash")).agg(F.min_by(rest, "lq_src").alias("r")).select("r.*")
+    return both.groupBy((F.md5("url") if key is None else key).alias("lq_hash")).agg(F.min_by(rest, "lq_src").alias("r")).select("r.*")
 
 
 def append(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -205,11 +206,12 @@ def with_priority(pages: DataFrame, now: int) -> DataFrame:
     return pages.withColumn("priority", priority(F.lit(now), F.col("last_success"), F.col("last_change"), F.col("last_attempt")))
 
 
-def cycle(pages: DataFrame, fetched: DataFrame, now: int, cycles: int, cfg: Config = Config(), hotspot: Column = F.lit(True)) -> DataFrame:
+def cycle(pages: DataFrame, fetched: DataFrame, now: int, cycles: int, cfg: Config = Config(), hotspot: Column | None = None) -> DataFrame:
     """The next page table from this one and what was fetched: url, ok, links, signature (CRW18).
 
     Pure: the caller writes the result as the next version and moves the pointer.
     """
+    hotspot = F.lit(True) if hotspot is None else hotspot
     chosen = select_to_fetch(pages, cfg)
     got = chosen.where("to_fetch").join(fetched.select("url", "ok", "links", F.col("signature").alias("new_signature")), "url", "left")
     done = got.where(F.coalesce("ok", F.lit(False)))
