@@ -39,7 +39,7 @@ def _code(dim: int, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
     for part in np.array_split(np.arange(dim), blocks):
         w = rng.normal(size=(min(WORDS, 2 ** len(part)), len(part)))
         w /= np.linalg.norm(w, axis=1, keepdims=True)
-        full = np.zeros((WORDS, dim))
+        full = np.zeros((len(w), dim))
         full[:, part] = w / np.sqrt(blocks)
         out.append(full)
     return q, out

@@ -178,6 +178,8 @@ class Predictor:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         model = self.model
+        if not model.langs:
+            return ["und"] * len(texts), [0.0] * len(texts)
         if len(_memo["at"]) > MEMO:
             _memo.update(at={}, table=np.empty((0, len(model.langs))))
         at, base = _memo["at"], len(_memo["table"])
@@ -200,7 +202,7 @@ class Predictor:
         table = _memo["table"]
         langs, scores = [], []
         for k in ids:
-            if not len(k) or not model.langs:
+            if not len(k):
                 langs.append("und")
                 scores.append(0.0)
                 continue
