@@ -10,12 +10,13 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, map_columns, materialize
+from .common import free_name, id_filter, map_columns, materialize, only, split_by_filter
 from .linking import components, link
 
 #: Words of a shingle, similarity, tries, hashes of a label, and the share of pairs at the threshold that may be missed.
@@ -133,6 +134,8 @@ def signatures(df: DataFrame, doc_id: str, text: str, n: int, trees: int, depth:
     new = [T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("size", T.LongType()), T.StructField("label", T.ArrayType(T.LongType()))]
 
     def make():
+        only("shingles", _words.clear)
+
         def f(texts):
             out: list[list] = [[], [], [], []]
             for t in texts:
@@ -161,22 +164,31 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     classes = sig.where("size > 0 and id is not null").groupBy("a", "b", "size").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = classes.groupBy("rep").agg(F.min(F.struct("a", "b", "size", "copies")).alias("c")).select("rep", "c.*")
     classes = materialize(classes, "classes")
-    labelled = sig.where("size > 0").select("id", "a", "b", "label").join(classes.select(F.col("rep").alias("id"), "a", "b", "size"), ["id", "a", "b"]).dropDuplicates(["id"])
+    labelled = sig.where("size > 0").select("id", "a", "b", "label").join(classes.select(F.col("rep").alias("id"), "a", "b", "size"), ["id", "a", "b"]).dropDuplicates(["id", "a", "b"])
     keys = labelled.select("id", F.explode("label").alias("key"), (F.col("size") * 8).alias("bytes"))
 
     def items(need: DataFrame) -> DataFrame:
-        rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(need, "id")
-
-        def make():
-            def f(texts):
-                sets = [shingles(t, n).tobytes() for t in texts]
-                hs = [xxhash.xxh128_intdigest(s) for s in sets]
-                return [_signed(h >> 64) for h in hs], [_signed(h & ((1 << 64) - 1)) for h in hs], sets
-
-            return f
-
-        sets = map_columns(rows, ["text"], [T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("payload", T.BinaryType())], make, ["id"])
-        return sets.join(classes.select(F.col("rep").alias("id"), "a", "b", F.col("copies").alias("weight")), ["id", "a", "b"]).dropDuplicates(["id"]).select("id", "weight", "payload")
+        # Shingle sets of the candidates only: other texts are passed over while they are read, and no text is shuffled.
+        need = materialize(need, "candidates")
+        words, bits = id_filter(need, need.count())
+        passed = df.sparkSession.sparkContext.broadcast(words)
+        rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+        rows = rows.where(F.col("id").isNotNull()).withColumn("at", F.pmod(F.xxhash64("id"), F.lit(bits)))
+
+        def sets(batches):
+            only("shingles", _words.clear)
+            has = passed.value
+            for b in batches:
+                at = b.column(2).to_numpy()
+                b = b.filter(pa.array((has[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+                got = [shingles(t, n).tobytes() for t in b.column(1).to_pylist()]
+                hs = [xxhash.xxh128_intdigest(s) for s in got]
+                cols = [b.column(0), pa.array([_signed(h >> 64) for h in hs], pa.int64()), pa.array([_signed(h & ((1 << 64) - 1)) for h in hs], pa.int64()), pa.array(got, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "a", "b", "payload"])
+
+        got = rows.mapInArrow(sets, "id long, a long, b long, payload binary")
+        named = classes.select(F.col("rep").alias("id"), "a", "b", F.col("copies").alias("weight")).join(need, "id")
+        return got.join(named, ["id", "a", "b"]).dropDuplicates(["id", "a", "b"]).select("id", "weight", "payload")
 
     found = materialize(link(keys, items, lambda a, b: jaccard(a, b, threshold), "ngram"), "links")
     links = found.groupBy("id").agg(F.sum("n_links").alias("links"))
@@ -194,13 +206,15 @@ def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Rows without a doc_id stay.
     """
-    from pyspark.sql import Window
-
     named, mark, turn = free_name(df, "lq_kept_id"), free_name(df, "lq_text_hash"), free_name(df, "lq_turn")
-    stay = ngram_join(df, doc_id, text, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias(named)).distinct()
-    rows = df.where(F.col(doc_id).isNotNull()).join(stay, F.col(doc_id).cast("long") == F.col(named)).withColumn(mark, F.xxhash64(F.col(text)))
-    w = Window.partitionBy(named, mark).orderBy(F.col(text))
-    one = rows.withColumn(turn, F.row_number().over(w)).where(F.col(turn) == 1).select(*[f"`{c}`" for c in df.columns])
-    return one.unionByName(df.where(F.col(doc_id).isNull()))
-
-
+    found = ngram_join(df, doc_id, text, **how).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    unclear = materialize(found.where("not kept or n > 1"), "unclear").withColumnRenamed("doc_id", "id")
+    # Rows that surely stay pass as they are read; only the others are shuffled to the decisions on their ids.
+    words, bits = id_filter(unclear, unclear.count())
+    decided = unclear.select(F.col("id").alias(named), F.col("kept").alias(turn))
+    rows = split_by_filter(df, doc_id, words, bits, True).join(decided, F.col(doc_id).cast("long") == F.col(named), "left")
+    rows = rows.where(F.coalesce(turn, F.lit(True))).drop(turn).withColumn(mark, F.xxhash64(F.col(text)))
+    w = Window.partitionBy(doc_id, mark).orderBy(F.col(text))
+    one = rows.withColumn(turn, F.row_number().over(w)).where(F.col(turn) == 1)
+    cols = [f"`{c}`" for c in df.columns]
+    return split_by_filter(df, doc_id, words, bits, False).unionByName(one.select(*cols))
