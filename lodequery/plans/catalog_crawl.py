@@ -212,11 +212,11 @@ def antiscore_backprop(spark, sf):
     return crawl.anti_scores(bad).withColumn("anti_score", F.round("anti_score", 6))
 
 
-@query("SELECT url, CASE WHEN page_id % 3 <> 0 THEN 'first' ELSE 'second' END AS origin FROM pages WHERE page_id % 3 <> 0 OR page_id % 2 = 0")
+@query("SELECT url, CASE WHEN starts_with(url, 'https') THEN 'first' ELSE 'second' END AS origin FROM pages WHERE starts_with(url, 'https') OR contains(url, '/en/')")
 def pagedb_merge(spark, sf):
     p = table(spark, sf, "pages")
-    a = p.where(F.col("page_id") % 3 != 0).select("url", F.lit("first").alias("origin"))
-    b = p.where(F.col("page_id") % 2 == 0).select("url", F.lit("second").alias("origin"))
+    a = p.where(F.startswith("url", F.lit("https"))).select("url", F.lit("first").alias("origin"))
+    b = p.where(F.contains("url", F.lit("/en/"))).select("url", F.lit("second").alias("origin"))
     return crawl.merge_tables(a, b)
 
 
