@@ -18,15 +18,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import WS, map_columns
+from .common import WS, map_columns, only
 from .merges import MergeAutomaton, byte_chars, load
 
 #: Units that a worker remembers before it starts anew, and the longest that it remembers.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 800_000, 64
 UNIT = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
 #: The vocabulary's pre-splitting (a fixed value).
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 _CONTRACTION = regex.compile(r"'(?:s|t|re|ve|m|ll|d)")
+#: A word and marks behind it: two pieces, as no apostrophe is among the marks.
+_ENDED = re.compile(r"([^\W\d_]+)([^\w\s']+)\Z")
 _SPACES = re.compile(f"[{WS}]*")
 
 
@@ -34,7 +36,6 @@ class PrefixCounter:
     def __init__(self, automaton: MergeAutomaton, special: list[str]):
         self.automaton, self.chars = automaton, byte_chars()
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.space = self.chars[32]
         self.memo: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> list[int]:
@@ -79,17 +80,31 @@ class PrefixCounter:
         return out
 
     def deltas(self, unit: str) -> bytes:
-        if unit.isascii() and unit[unit[0] == " " :].isalpha():  # one piece
-            count = self.automaton.run(unit if unit[0] != " " else self.space + unit[1:])[2]
-        else:
-            count = [0, *self.unit(unit)]
-        got = struct.pack(f"<{len(unit)}i", *map(sub, count[1:], count))
+        """Changes of the count with each character (int32); pieces that can't touch are looked up alone."""
+        first = unit[0]
+        rest = unit[1:] if first == " " else unit
+        got = None
+        if rest.isalpha():
+            count = self._piece(unit)
+            got = struct.pack(f"<{len(unit)}i", *map(sub, count, [0, *count]))
+        elif first in "\n\t\r" and not unit[1:2].isspace():
+            got = self._get(first) + self._get(unit[1:]) if len(unit) > 1 else None
+        elif m := _ENDED.match(rest):
+            head = unit[: len(unit) - len(m[2])]
+            if m[1].isalpha():
+                got = self._get(head) + self._get(m[2])
+        if got is None:
+            count = self.unit(unit)
+            got = struct.pack(f"<{len(unit)}i", *map(sub, count, [0, *count]))
         if len(unit) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[unit] = got
         return got
 
+    def _get(self, unit: str) -> bytes:
+        return self.memo.get(unit) or self.deltas(unit)
+
     def prefixes(self, text: str) -> np.ndarray:
         """n_tokens of text[:1], text[:2], ... (int32)."""
         get, slow = self.memo.get, self.deltas
@@ -118,6 +133,7 @@ def token_counts(df: DataFrame, vocab: str, limit: int = 512, text: str = "text"
 
     def make():
         counter = _counter(vocab)
+        only("token_counts", counter.memo.clear)
 
         def f(texts):
             out: list[list] = [[] for _ in new]
