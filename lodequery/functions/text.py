@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +41,40 @@ def words(c: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
+def one_of(words_: list[str]) -> str:
+    """A pattern of the words as a tree of their letters, so a matcher reads each letter once."""
+    tree: dict = {}
+    for w in words_:
+        at = tree
+        for ch in w:
+            at = at.setdefault(ch, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        parts = [re.escape(ch) + pattern(below) for ch, below in sorted(at.items()) if ch]
+        if not parts:
+            return ""
+        body = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+        return f"(?:{body})?" if "" in at else body
+
+    return pattern(tree)
+
+
 def analyze(c: Column, stopwords: list[str] = STOPWORDS) -> Column:
-    """Tokens of a text (FN1): words, less stop words, and only then without accents."""
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(stopwords)])
-    return F.transform(F.filter(words(c), lambda w: ~F.array_contains(stop, w)), fold_latin)
+    """Tokens of a text (FN1): words, less stop words, and only then without accents.
+
+    The pattern passes over stop words, and accents fold on the joined tokens, so no function runs word by word.
+    """
+    w = r"[\p{L}\p{N}]"
+    stop = f"(?!{one_of(stopwords)}(?!{w}))" if stopwords else ""
+    found = F.regexp_extract_all(F.lower(c), F.lit(f"(?<!{w}){stop}{w}+"), F.lit(0))
+    joined = fold_latin(F.array_join(F.coalesce(found, F.array().cast("array<string>")), " "))
+    return F.array_remove(F.split(joined, " "), "")
+
+
+def with_tokens(df: DataFrame, name: str, tokens: Column) -> DataFrame:
+    """``df`` with the array as a column that is computed once a row: filters on it stay above the generator."""
+    return df.select("*", F.inline(F.array(F.struct(tokens.alias(name)))))
 
 
 def keyword(c: Column) -> Column:

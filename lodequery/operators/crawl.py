@@ -162,11 +162,13 @@ def keep_pages(pages: DataFrame, cycles: int, cfg: Config = Config(), hotspot: C
 def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int, damping: float = DAMPING, every: int = 5) -> DataFrame:
     """(node, score) after some rounds from 1 each; nodes without links link to themselves (CRW9).
 
-    edges: (src, dst), distinct. The lineage is cut every few rounds by a checkpoint in the shared folder.
+    edges: (src, dst), distinct. They are dealt by src once and cached, so a round shuffles scores and contributions,
+    not edges. The lineage is cut every few rounds by a checkpoint in the shared folder.
     """
+    nodes = nodes.repartition("node").cache()
     dangling = nodes.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("src"), F.col("node").alias("dst"))
     e = edges.select("src", "dst").unionByName(dangling)
-    e = e.join(e.groupBy("src").agg(F.count("*").alias("n_out")), "src")
+    e = e.join(e.groupBy("src").agg(F.count("*").alias("n_out")), "src").repartition("src").cache()
     size = nodes.agg(F.count("*").alias("web_size"))
     scores = nodes.withColumn("score", F.lit(1.0))
     for k in range(rounds):

@@ -13,7 +13,7 @@ from .registry import POST_SQL, TOK_SQL, query, table
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").withColumn("tokens", text.analyze(F.col("text")))
+    return text.with_tokens(table(spark, sf, "documents"), "tokens", text.analyze(F.col("text")))
 
 
 def indexed(spark: SparkSession, sf: str, **how) -> search.Index:
