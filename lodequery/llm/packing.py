@@ -53,7 +53,7 @@ def _encoder(path: str):
 def encode(path: str, text: str) -> np.ndarray:
     """Ids of a text (uint32), special strings inside it as the library's default has them."""
     enc, ids, _ = _encoder(path)
-    return ids[np.array(enc.encode(text, allowed_special="all"), np.int64)]
+    return ids[enc.encode_to_numpy(text, allowed_special="all")]
 
 
 @cache
@@ -90,14 +90,17 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_key(ids: np.ndarray, size: int) -> int:
-    """Hilbert key of a document: the mean direction of its tokens, scaled by its spread and put on a grid."""
-    if not len(ids):
-        return 0
-    v = _directions(size)[ids].sum(0) / math.sqrt(len(ids))
-    # Sums of frequent tokens lie far out: a squashed scale keeps the grid in use.
-    grid = np.clip((np.arctan(v / (1 + 0.1 * math.sqrt(len(ids)))) / math.pi + 0.5) * (1 << BITS), 0, (1 << BITS) - 1)
-    return int(hilbert(grid.astype(np.int64)[None, :])[0])
+def vector(ids: np.ndarray, size: int) -> np.ndarray:
+    """A document's point: the summed directions of its tokens over the root of their number."""
+    return _directions(size).take(ids, 0).sum(0) / math.sqrt(max(len(ids), 1))
+
+
+def curve_keys(points: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents' points, each squashed to a grid by a scale that follows its number of tokens."""
+    # Sums of frequent tokens lie far out: the arc tangent keeps the grid in use.
+    scale = 1 + 0.1 * np.sqrt(tokens)[:, None]
+    grid = np.clip((np.arctan(points / scale) / math.pi + 0.5) * (1 << BITS), 0, (1 << BITS) - 1)
+    return hilbert(grid.astype(np.int64))
 
 
 def pack(df: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, ids: bool = True) -> DataFrame:
@@ -116,13 +119,15 @@ def pack(df: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "text",
         size = _encoder(vocab)[2]
 
         def f(texts):
-            out: list[list] = [[], [], [], []]
-            for t in texts:
+            raw, ties, many, points = [], [], [], np.zeros((len(texts), DIMS))
+            for k, t in enumerate(texts):
                 x = encode(vocab, t or "")
                 b = np.append(x, np.uint32(EOD)).astype(f"<u{wide}").tobytes()
-                for o, v in zip(out, (curve_key(x, size), zlib.crc32(b), len(x) + 1, b), strict=True):
-                    o.append(v)
-            return out
+                points[k] = vector(x, size)
+                raw.append(b)
+                ties.append(zlib.crc32(b))
+                many.append(len(x) + 1)
+            return curve_keys(points, np.array(many) - 1).tolist(), ties, many, raw
 
         return f
 
