@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from .common import materialize
 
@@ -32,13 +31,13 @@ def quantized(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 class _Block:
     """Queries of one block, and each one's interval of values [low, low + width * BINS) that holds its k-th score."""
 
-    def __init__(self, ids: np.ndarray, own: np.ndarray, x: np.ndarray):
-        self.ids, self.own, self.x = ids, own, x
-        self.low = self.width = self.above = None
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.low = self.width = None
 
 
 def _scores(batches, block: _Block):
-    """(ids, scores[vector, query], own) of the batch's vectors of the queries' length; exact in double below 2**53."""
+    """(ids, scores[vector, query]) of the batch's vectors of the queries' length; exact in double below 2**53."""
     dim = block.x.shape[1]
     for b in batches:
         ids, v = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
@@ -78,7 +77,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id",
                 continue
             ids = rows.column("id").to_numpy()
             x = rows.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), dim)
-            got = _block(spark, data, _Block(ids, ids, x), k)
+            got = _block(spark, data, _Block(ids, x), k)
             out = got if out is None else out.unionByName(got)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -95,7 +94,7 @@ def _block(spark, data: DataFrame, block: _Block, k: int) -> DataFrame:
     # |score| <= |query|_1 * max |component|: the first interval holds every score.
     most = data.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0
     reach = np.abs(block.x).sum(1) * max(most, 1)
-    block.low, block.above = -reach, np.zeros(q, np.int64)
+    block.low = -reach
     block.width = np.maximum(1, -(-(2 * reach + 1) // BINS))
     while True:
         shared = sc.broadcast(block)
@@ -106,7 +105,7 @@ def _block(spark, data: DataFrame, block: _Block, k: int) -> DataFrame:
             row = np.arange(len(b.ids))[None, :]
             for ids, s in _scores(batches, b):
                 bin_ = (s - b.low[None, :]) // b.width[None, :]
-                use = (bin_ >= 0) & (ids[:, None] != b.own[None, :])
+                use = (bin_ >= 0) & (ids[:, None] != b.ids[None, :])
                 flat = (row * (BINS + 1) + np.minimum(bin_, BINS))[use]
                 total += np.bincount(flat, minlength=total.size).reshape(total.shape)
             # Below the bin of a partition's own k-th best score no bin can hold the global one.
@@ -126,7 +125,7 @@ def _block(spark, data: DataFrame, block: _Block, k: int) -> DataFrame:
         where[r[reached][::-1]] = c[reached][::-1]  # the highest bin at which k scores are reached
         narrow = block.width == 1
         move = where >= 0
-        block.low = np.where(move, block.low + np.maximum(where, 0) * block.width, np.where(narrow, block.low, block.low))
+        block.low = np.where(move, block.low + np.maximum(where, 0) * block.width, block.low)
         short = ~move  # fewer than k candidates: all of them are wanted
         if (narrow | short).all():
             break
@@ -151,7 +150,7 @@ def _block(spark, data: DataFrame, block: _Block, k: int) -> DataFrame:
             return a[ok], i[ok], s[ok]
 
         for ids, s in _scores(batches, b):
-            v, a = np.nonzero((s >= b.low[None, :]) & (ids[:, None] != b.own[None, :]))
+            v, a = np.nonzero((s >= b.low[None, :]) & (ids[:, None] != b.ids[None, :]))
             keep_q.append(a)
             keep_i.append(ids[v])
             keep_s.append(s[v, a])
