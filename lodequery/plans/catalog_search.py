@@ -303,19 +303,20 @@ s AS (SELECT doc_id, lo.lang, round(sum(n * coalesce(prof.lp, lp0)), 4) AS s FRO
 SELECT doc_id, lang AS detected FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS k FROM s) WHERE k = 1"""
 )
 def lang_detect(spark, sf):
-    """Character trigram profiles (FN17)."""
-    w = table(spark, sf, "documents").select("doc_id", "lang", F.explode(text.words(F.col("text"))).alias("w"))
+    """Character trigram profiles (FN17). Distinct words are scored once, then documents sum their words."""
+    w = table(spark, sf, "documents").select("doc_id", "lang", F.explode(text.words(F.col("text"))).alias("w")).groupBy("doc_id", "lang", "w").agg(F.count("*").alias("m"))
     padded = F.concat(F.lit(" "), "w", F.lit(" "))
-    g = w.groupBy("doc_id", "lang", "w").agg(F.count("*").alias("m")).select("doc_id", "lang", "m", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(padded, i, F.lit(3)))).alias("g"))
-    c = g.groupBy("doc_id", "lang", "g").agg(F.sum("m").alias("n"))
-    per = c.groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    trigrams = F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(padded, i, F.lit(3)))).alias("g")
+    by_lang = w.groupBy("lang", "w").agg(F.sum("m").alias("m"))
+    per = by_lang.select("lang", "m", trigrams).groupBy("lang", "g").agg(F.sum("m").alias("n"))
     size = per.groupBy("lang").agg(F.sum("n").alias("total"))
     prof = per.join(F.broadcast(size), "lang").groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.ln((F.col("n") + 1.0) / (F.col("total") + 1000.0))))).alias("lp"))
     floor = size.agg(F.sort_array(F.collect_list(F.struct("lang", F.ln(1.0 / (F.col("total") + 1000.0)).alias("low")))).alias("langs"))
-    rows = c.select("doc_id", "g", "n").join(prof, "g").crossJoin(F.broadcast(floor))
-    rows = rows.select("doc_id", F.explode(F.transform("langs", lambda x: F.struct(x.lang.alias("lang"), (F.col("n") * F.coalesce(F.element_at("lp", x.lang), x.low)).alias("s")))).alias("x"))
-    s = rows.groupBy("doc_id", "x.lang").agg(F.round(F.sum("x.s"), 4).alias("s"))
-    return s.groupBy("doc_id").agg(F.min(F.struct((-F.col("s")).alias("s"), "lang")).alias("best")).select("doc_id", F.col("best.lang").alias("detected"))
+    rows = by_lang.select("w").distinct().select("w", trigrams).join(prof, "g").crossJoin(F.broadcast(floor))
+    scored = rows.select("w", F.explode(F.transform("langs", lambda x: F.struct(x.lang.alias("of"), F.coalesce(F.element_at("lp", x.lang), x.low).alias("s")))).alias("x"))
+    scored = scored.groupBy("w", "x.of").agg(F.sum("x.s").alias("s"))
+    s = w.join(scored, "w").groupBy("doc_id", "of").agg(F.round(F.sum(F.col("m") * F.col("s")), 4).alias("s"))
+    return s.groupBy("doc_id").agg(F.min(F.struct((-F.col("s")).alias("s"), "of")).alias("best")).select("doc_id", F.col("best.of").alias("detected"))
 
 
 # Classifier
