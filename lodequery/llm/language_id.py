@@ -24,7 +24,7 @@ from .common import held_out, map_columns, only
 TRAIN_TEXTS, WORD_CHARS, ROUNDS = 150, 40, 2
 #: Words of each language's learning texts that the estimate uses, the most frequent first.
 TRAIN_WORDS = 20_000
-MEMO = 500_000
+MEMO = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: Probability of a character that no piece covers, and the weight of the smoothing distribution.
 UNKNOWN, SMOOTH = 1e-7, 0.02

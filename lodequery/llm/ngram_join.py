@@ -21,7 +21,7 @@ from .linking import components, link
 
 #: Words of a shingle, similarity, tries, hashes of a label, and the share of pairs at the threshold that may be missed.
 N, THRESHOLD, TREES, DEPTH, MISS = 5, 0.8, 28, 8, 2e-7
-MEMO = 400_000
+MEMO = 250_000
 _SEED = 20240229
 
 

@@ -28,7 +28,7 @@ LANDMARKS, SHARE = 24, 0.06
 TRAIN_TEXTS, WORD_CHARS = 1500, 48
 #: Values below this say nothing about a word.
 FLOOR = 0.2
-MEMO = 500_000
+MEMO = 250_000
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
 _TOKEN = re.compile(r"\S+")
 _JUNK = re.compile(r"[\W_]+")
@@ -86,9 +86,10 @@ class Model:
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, a: float, b: float, base: float):
         self.landmarks, self.weights, self.bias, self.a, self.b, self.base = landmarks, weights, bias, a, b, base
         self.own = [kernel(t, t) for t in landmarks]
-        self.letters = [frozenset(t) for t in landmarks]
+        self.bits: dict[str, int] = {c: 1 << k for k, c in enumerate(sorted(set("".join(landmarks))))}
+        self.letters = [sum({self.bits[c] for c in t}) for t in landmarks]
         self.key = uuid.uuid4().hex
-        self.near: dict[frozenset, tuple[int, ...]] = {}
+        self.near: dict[int, tuple[int, ...]] = {}
 
     def values(self, word: str) -> tuple[tuple[int, float], ...]:
         """(landmark, kernel over the landmark's own) of a word where it is FLOOR or more.
@@ -99,11 +100,13 @@ class Model:
         got: dict[int, float] = {}
         for k in range(0, max(1, len(w)), WORD_CHARS // 2):
             part = w[k : k + WORD_CHARS]
-            letters = frozenset(part)
+            letters = 0  # of the landmarks' letters, those in the part
+            for c in set(part):
+                letters |= self.bits.get(c, 0)
             near = self.near.get(letters)
             if near is None:
-                near = tuple(j for j, t in enumerate(self.letters) if len(t - letters) <= (len(t) > 5))
-                if len(self.near) > MEMO:
+                near = tuple(j for j, t in enumerate(self.letters) if (t & ~letters).bit_count() <= (t.bit_count() > 5))
+                if len(self.near) >= MEMO // 4:
                     self.near.clear()
                 self.near[letters] = near
             for j in near:
@@ -235,7 +238,7 @@ class Scorer:
         if _memo["key"] != model.key:
             _memo.clear()
             _memo.update(key=model.key, words={})
-        only("toxicity", lambda: _memo.update(key=None, words={}))
+        only("toxicity", lambda: (_memo.update(key=None, words={}), model.near.clear()))
         self.words: dict[str, tuple] = _memo["words"]
         self.empty = model.probability(model.bias)
 
