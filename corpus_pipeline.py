@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodequery.llm import language_id, ngram_join, packing, queries, toxicity
 from lodequery.llm.common import free_name, materialize, prepare
+from lodequery.sources.spread import spread
 
 #: SQL for the rows of run(): the stages learn models and encode tokens, which SQL can't express.
 ORACLE_SQL = None
@@ -62,7 +63,7 @@ STAGES = [("toxicity", drop_toxic), ("language", drop_no_language), ("near_copie
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
 from . import automaton_codec, cap_filters, chat, language_id, ngram_join, packing, sharding, token_counts, topk, toxicity
 from .common import held_out, prepare
 
@@ -18,7 +19,8 @@ TOXIC = 0.7
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
