@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .linking import components, link
+from .linking import link, numbered, settle
 
 THRESHOLD = 0.98
 #: Blocks, code words a block (fewer in few dimensions), and independent codes.
@@ -103,7 +103,8 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     component_id is the smallest vec_id that links reach, kept marks it. A vector that is null, empty or zero, holds a
     null or non-finite number, or has a null label or id links with nothing and is kept. Vectors of different lengths
     link with nothing. Equal vectors of a label are one class, compared once and counted in full. Where a vec_id
-    repeats with other vectors, the smallest label and vector stand for it. Other columns are ignored.
+    repeats, each of its rows is a vector: it counts its own links, and rows of one vec_id may be in different
+    components. Other columns are ignored.
     """
     src = df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v"), F.col(label).cast("string").alias("l"))
     v = F.col("v")
@@ -111,8 +112,7 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     usable = F.coalesce(usable & F.exists(v, lambda x: x != 0), F.lit(False))
     sig = src.withColumn("ok", usable)
     classes = sig.where("ok").groupBy("l", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = classes.groupBy("rep").agg(F.min(F.struct("l", "v", "copies")).alias("c")).select("rep", "c.*")
-    classes = materialize(classes, "vectors")
+    classes = numbered(classes, "vectors")
 
     def keys(batches):
         for b in batches:
@@ -134,16 +134,16 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["id", "l", "filter"])
 
     size = 8 * F.size("v")
-    k = classes.select("rep", "l", "v").mapInArrow(keys, T.StructType([T.StructField("id", T.LongType()), T.StructField("l", T.StringType()), T.StructField("filter", T.LongType())]))
+    k = classes.select("id", "l", "v").mapInArrow(keys, T.StructType([T.StructField("id", T.LongType()), T.StructField("l", T.StringType()), T.StructField("filter", T.LongType())]))
     k = k.select("id", F.xxhash64("l", "filter").alias("key"), F.lit(1024).alias("bytes"))
 
     def pack(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(x, np.float64).tobytes() for x in b.column(2).to_pylist()], pa.binary())], names=["id", "weight", "payload"])
 
-    items = classes.where(size > 0).select("rep", "copies", "v").mapInArrow(pack, "id long, weight long, payload binary")
+    items = classes.where(size > 0).select("id", "copies", "v").mapInArrow(pack, "id long, weight long, payload binary")
     # A key is a hash of label and filter: two labels could share one, so the label's hash is compared as well.
-    tagged = items.join(classes.select(F.col("rep").alias("id"), F.xxhash64("l").alias("tag")), "id").select("id", "weight", F.concat(F.to_binary(F.lpad(F.hex("tag"), 16, "0"), F.lit("hex")), "payload").alias("payload"))
+    tagged = items.join(classes.select("id", F.xxhash64("l").alias("tag")), "id").select("id", "weight", F.concat(F.to_binary(F.lpad(F.hex("tag"), 16, "0"), F.lit("hex")), "payload").alias("payload"))
 
     def verify(a, b):
         y = a if b is None else b
@@ -151,10 +151,7 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
         return cosines([v[8:] for v in a], None if b is None else [v[8:] for v in b], threshold) & same
 
     found = materialize(link(k, tagged, verify, "caps"), "links")
-    links = found.groupBy("id").agg(F.sum("n_links").alias("links"))
-    comp = components(found.select("id", "root"), "caps")
-    per = classes.join(links, classes.rep == links.id, "left").drop("id").join(comp, F.col("rep") == comp.id, "left")
-    per = per.select(F.col("l").alias("pl"), F.col("v").alias("pv"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    per = settle(classes, found, "caps").select(F.col("l").alias("pl"), F.col("v").alias("pv"), "n_links", "component_id")
     out = sig.join(per, F.col("ok") & (F.col("l") == F.col("pl")) & (v == F.col("pv")), "left")
     own = F.when(F.col("ok"), F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("vec_id"), F.when(F.col("ok"), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))

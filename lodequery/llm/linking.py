@@ -137,6 +137,23 @@ def _roots(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
             return ids[order[lab]]
 
 
+def numbered(classes: DataFrame, name: str) -> DataFrame:
+    """``classes`` with an id of their own (id long): doc ids repeat, and two classes may share their smallest one.
+
+    The numbers hold because the table is written once and read back.
+    """
+    return materialize(classes.withColumn("id", F.monotonically_increasing_id()), name)
+
+
+def settle(classes: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``classes`` (id, rep, copies, ...) with n_links and component_id, the smallest rep of a component, from ``link``'s rows."""
+    links = found.groupBy("id").agg(F.sum("n_links").alias("links"))
+    comp = components(found.select("id", "root"), name)
+    per = materialize(classes.join(links, "id", "left").join(comp, "id", "left").withColumn("root", F.coalesce("component_id", "id")).drop("component_id"), f"{name}-per")
+    low = per.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return per.join(low, "root").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0))).drop("root", "links", "id", "copies", "rep")
+
+
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Connected components of (id, root) by alternating large-star and small-star steps: (id, component_id).
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, id_filter, map_columns, materialize, only, split_by_filter
-from .linking import components, link
+from .linking import link, numbered, settle
 
 #: Words of a shingle, similarity, tries, hashes of a label, and the share of pairs at the threshold that may be missed.
 N, THRESHOLD, TREES, DEPTH, MISS = 5, 0.8, 28, 8, 2e-7
@@ -130,7 +130,7 @@ def _signed(h: int) -> int:
 
 
 def signatures(df: DataFrame, doc_id: str, text: str, n: int, trees: int, depth: int, use: int) -> DataFrame:
-    """(id, a, b, size, label): the shingle set's 128-bit hash, its size and its label's prefix in each trie."""
+    """(id, t, a, b, size, label): the text's hash, the shingle set's 128-bit hash, its size and its label's prefix in each trie."""
     new = [T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("size", T.LongType()), T.StructField("label", T.ArrayType(T.LongType()))]
 
     def make():
@@ -147,7 +147,8 @@ def signatures(df: DataFrame, doc_id: str, text: str, n: int, trees: int, depth:
 
         return f
 
-    return map_columns(df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), ["text"], new, make, ["id"])
+    src = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("t"))
+    return map_columns(src, ["text"], new, make, ["id", "t"])
 
 
 def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, miss: float = MISS) -> DataFrame:
@@ -156,21 +157,25 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     Words are separated by ASCII white space and compared as they are. component_id is the smallest doc_id that links
     reach, kept marks it. Documents of equal shingle sets are one class: joined once, counted in full. A null, empty or
     blank text has no shingles and links with nothing. A null doc_id is kept and links with nothing. Where a doc_id
-    repeats with texts of different sets, the one of the smaller set hash stands for it; each row counts its copies.
-    Other columns are ignored.
+    repeats, each of its rows is a document: it counts its own links, and rows of one doc_id may be in different
+    components. Other columns are ignored.
     """
+    return _rows(df, doc_id, text, n, threshold, trees, depth, miss).drop("t")
+
+
+def _rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, miss: float = MISS) -> DataFrame:
+    """The rows of ``ngram_join`` with a hash of the text (t)."""
     use = shortest_prefix(threshold, trees, depth, miss)
     sig = materialize(signatures(df, doc_id, text, n, trees, depth, use), "signatures")
     classes = sig.where("size > 0 and id is not null").groupBy("a", "b", "size").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = classes.groupBy("rep").agg(F.min(F.struct("a", "b", "size", "copies")).alias("c")).select("rep", "c.*")
-    classes = materialize(classes, "classes")
-    labelled = sig.where("size > 0").select("id", "a", "b", "label").join(classes.select(F.col("rep").alias("id"), "a", "b", "size"), ["id", "a", "b"]).dropDuplicates(["id", "a", "b"])
+    classes = numbered(classes, "classes")
+    labelled = sig.where("size > 0").select(F.col("id").alias("rep"), "a", "b", "size", "label").join(classes.select("id", "rep", "a", "b", "size"), ["rep", "a", "b", "size"]).dropDuplicates(["id"])
     keys = labelled.select("id", F.explode("label").alias("key"), (F.col("size") * 8).alias("bytes"))
 
     def items(need: DataFrame) -> DataFrame:
         # Shingle sets of the candidates only: other texts are passed over while they are read, and no text is shuffled.
-        need = materialize(need, "candidates")
-        words, bits = id_filter(need, need.count())
+        need = materialize(classes.join(need, "id").select("id", "rep", "a", "b", F.col("copies").alias("weight")), "candidates")
+        words, bits = id_filter(need.select(F.col("rep").alias("id")), need.count())
         passed = df.sparkSession.sparkContext.broadcast(words)
         rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
         rows = rows.where(F.col("id").isNotNull()).withColumn("at", F.pmod(F.xxhash64("id"), F.lit(bits)))
@@ -187,33 +192,31 @@ def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "a", "b", "payload"])
 
         got = rows.mapInArrow(sets, "id long, a long, b long, payload binary")
-        named = classes.select(F.col("rep").alias("id"), "a", "b", F.col("copies").alias("weight")).join(need, "id")
-        return got.join(named, ["id", "a", "b"]).dropDuplicates(["id", "a", "b"]).select("id", "weight", "payload")
+        got = got.withColumnRenamed("id", "rep")
+        return got.join(need, ["rep", "a", "b"]).dropDuplicates(["id"]).select("id", "weight", "payload")
 
     found = materialize(link(keys, items, lambda a, b: jaccard(a, b, threshold), "ngram"), "links")
-    links = found.groupBy("id").agg(F.sum("n_links").alias("links"))
-    comp = components(found.select("id", "root"), "ngram")
-    per = classes.join(links, classes.rep == links.id, "left").drop("id").join(comp, F.col("rep") == comp.id, "left")
-    per = per.select("a", "b", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = sig.select("id", "a", "b", "size").join(per, ["a", "b"], "left")
+    per = settle(classes, found, "ngram").select("a", "b", "n_links", "component_id")
+    out = sig.select("id", "t", "a", "b", "size").join(per, ["a", "b"], "left")
     own = F.coalesce("component_id", "id")
     linked = (F.col("size") > 0) & F.col("id").isNotNull()
-    return out.select(F.col("id").alias("doc_id"), F.when(linked, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(linked, own).otherwise(F.col("id")).alias("component_id"), F.coalesce(~linked | (own == F.col("id")), F.lit(True)).alias("kept"))
+    return out.select("t", F.col("id").alias("doc_id"), F.when(linked, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(linked, own).otherwise(F.col("id")).alias("component_id"), F.coalesce(~linked | (own == F.col("id")), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``df``, one document of each component: the smallest doc_id; of its repeated rows, one a text.
 
-    Rows without a doc_id stay.
+    Rows without a doc_id stay. Rows of one doc_id are decided one by one.
     """
     named, mark, turn = free_name(df, "lq_kept_id"), free_name(df, "lq_text_hash"), free_name(df, "lq_turn")
-    found = ngram_join(df, doc_id, text, **how).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    found = _rows(df, doc_id, text, **how).where("doc_id is not null").groupBy("doc_id", "t").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     unclear = materialize(found.where("not kept or n > 1"), "unclear").withColumnRenamed("doc_id", "id")
     # Rows that surely stay pass as they are read; only the others are shuffled to the decisions on their ids.
     words, bits = id_filter(unclear, unclear.count())
-    decided = unclear.select(F.col("id").alias(named), F.col("kept").alias(turn))
-    rows = split_by_filter(df, doc_id, words, bits, True).join(decided, F.col(doc_id).cast("long") == F.col(named), "left")
-    rows = rows.where(F.coalesce(turn, F.lit(True))).drop(turn).withColumn(mark, F.xxhash64(F.col(text)))
+    decided = unclear.select(F.col("id").alias(named), F.col("t").alias(mark), F.col("kept").alias(turn))
+    rows = split_by_filter(df, doc_id, words, bits, True)
+    rows = rows.join(decided, (F.col(doc_id).cast("long") == F.col(named)) & (F.xxhash64(F.col(text)) == F.col(mark)), "left")
+    rows = rows.where(F.coalesce(turn, F.lit(True))).drop(turn, mark).withColumn(mark, F.xxhash64(F.col(text)))
     w = Window.partitionBy(doc_id, mark).orderBy(F.col(text))
     one = rows.withColumn(turn, F.row_number().over(w)).where(F.col(turn) == 1)
     cols = [f"`{c}`" for c in df.columns]

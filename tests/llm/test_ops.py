@@ -122,6 +122,38 @@ def test_near_copies_go(spark):
     assert ngram_join.drop_near_copies(docs(spark, [])).count() == 0
 
 
+def brute_rows(ids, close):
+    """As brute_links, over rows whose ids may repeat: (id, links, smallest id of the component, kept)."""
+    by_row = brute_links(range(len(ids)), close)
+    low: dict = {}
+    for k, (_, c, _) in by_row.items():
+        low[c] = min(low.get(c, ids[k]), ids[k])
+    return sorted((ids[k], n, low[c], low[c] == ids[k]) for k, (n, c, _) in by_row.items())
+
+
+def test_ngram_join_of_an_id_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = [t.rsplit(" ", 1)[0] + " end" for t in (a, b)]
+    # Id 5 is the smallest of two sets, whichever has the smaller hash; 20 also has a text of its own.
+    rows = [(5, a), (5, b), (20, a), (20, c), (21, a), (30, b), (31, b), (40, near[0]), (41, near[1])]
+    sets = [{tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for _, t in rows]
+    got = sorted((r.doc_id, r.n_links, r.component_id, r.kept) for r in ngram_join.ngram_join(docs(spark, rows)).collect())
+    assert got == brute_rows([i for i, _ in rows], lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    out = ngram_join.drop_near_copies(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted([(5, a), (5, b), (20, c)])
+
+
+def test_cap_filters_of_an_id_with_two_vectors(spark):
+    c = np.random.default_rng(6).normal(size=(3, 16))
+    near = (c + 0.01).tolist()
+    a, b, other = c.tolist()
+    rows = [(5, a, 0), (5, b, 0), (20, a, 0), (20, other, 0), (30, b, 0), (31, b, 0), (5, b, 1), (33, b, 1), (40, near[0], 0), (41, near[1], 0)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in cap_filters.near_vectors(d).collect())
+    v = [np.array(x, np.float32).astype(float) for _, x, _ in rows]
+    assert got == brute_rows([i for i, _, _ in rows], lambda i, j: rows[i][2] == rows[j][2] and v[i] @ v[j] / np.linalg.norm(v[i]) / np.linalg.norm(v[j]) >= 0.98)
+
+
 def test_prefix_is_shortened_to_the_recall():
     assert ngram_join.shortest_prefix(0.8, 28, 8, 2e-7) == 3
     with pytest.raises(ValueError):

@@ -89,3 +89,14 @@ def test_stages_take_an_empty_table(spark, tmp_path, k):
     _table(spark, tmp_path)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_pipeline_takes_an_id_with_two_texts(spark, tmp_path):
+    _table(spark, tmp_path / "a")
+    spark.read.parquet(f"{tmp_path}/a/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    first = docs.where("doc_id = 0 or doc_id = 2").select("text", "lang", "source", "n_chars")
+    copies = spark.createDataFrame([(-5,), (3000,), (3001,)], "doc_id long").crossJoin(first)
+    docs.unionByName(copies).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert -5 in ids and not ids & {0, 2, 3000, 3001}
