@@ -22,8 +22,6 @@ from .common import held_out, map_columns, only
 
 #: Labelled texts that a language is learned from, about (the documented bound), and the characters read of one word.
 TRAIN_TEXTS, WORD_CHARS, ROUNDS = 150, 40, 2
-#: Words of each language's learning texts that the estimate uses, the most frequent first.
-TRAIN_WORDS = 20_000
 MEMO = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: Probability of a character that no piece covers, and the weight of the smoothing distribution.
@@ -95,7 +93,7 @@ def learn(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -
         q = first
         for _ in range(rounds):
             got: dict[str, float] = defaultdict(float)
-            for word, times in counts[lang].most_common(TRAIN_WORDS):
+            for word, times in counts[lang].items():
                 for w in _marked(word):
                     _expect(w, times, q, every, heads, got)
             total = sum(got.values()) or 1.0
@@ -136,7 +134,7 @@ def _expect(w: str, times: int, q: dict, every: set, heads: set, got: dict) -> N
 def train(df: DataFrame, vocab: str, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", texts: int = TRAIN_TEXTS) -> Model:
     """Learn from rows with a language and a text that are not held out: about ``texts`` of each language, by a hash of the id.
 
-    Only words and their counts reach the driver, and of at most TRAIN_WORDS x 2 words a language.
+    Only words and their counts reach the driver, those of the sampled texts in full.
     """
     may = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit("language"), F.col(doc_id)), F.lit(1 << 30)).alias("draw"))
     sizes = {r["lang"]: r["n"] for r in may.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -156,10 +154,11 @@ def train(df: DataFrame, vocab: str, text: str = "text", lang: str = "lang", doc
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["lang", "word", "n"])
 
     counts = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    at_most = len(sizes) * TRAIN_WORDS * 2
     got: dict[str, Counter] = {k: Counter() for k in sizes}
-    for r in counts.orderBy(F.desc("n"), "lang", "word").limit(at_most).collect():
-        got[r["lang"]][r["word"]] = r["n"]
+    table = counts.orderBy("lang", F.desc("n"), "word").toArrow()
+    for b in table.to_batches():
+        for k, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got[k][w] = n
     return learn({k: c for k, c in got.items() if c}, vocabulary(vocab))
 
 

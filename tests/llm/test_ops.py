@@ -88,6 +88,21 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.identify(d, empty, keep=["doc_id"]).collect()} == {"und"}
 
 
+def test_language_counts_all_words(spark):
+    # The long texts of one language must not displace the few, single words of another.
+    names = [a + b + c + d for a in "bdfgklmn" for b in "aeiou" for c in "prstvwzx" for d in ("ab", "ed", "if", "og", "up")]
+    long = [(k, " ".join(n + m for m in names[30 * k : 30 * k + 30] for n in names for _ in range(2)), "aa") for k in range(12)]
+    few = [(100 + k, w, "zz") for k, w in enumerate(["zuzu", "zyzy", "żółw"])]
+    d = spark.createDataFrame([r for r in long + few if zlib.crc32(str(r[0]).encode()) % 3 != 1], "doc_id long, text string, lang string")
+    want = {x: {w for _, t, k in d.select("doc_id", "text", "lang").collect() if k == x for w in language_id.words_of(t)} for x in ("aa", "zz")}
+    assert len(want["aa"]) > 80_000 and want["zz"]
+    seen = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(language_id, "_expect", lambda w, times, q, every, heads, got: seen.setdefault(w, times))
+        assert language_id.train(d, PIECE).langs == ["aa", "zz"]
+    assert want["aa"] | want["zz"] == {w.lstrip("▁") for w in seen}
+
+
 def brute_links(items, close):
     n = {i: sum(close(i, j) for j in items if j != i) for i in items}
     comp = {i: i for i in items}
