@@ -1,6 +1,6 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix (operator 4).
 
-Rows lie in source blocks (by a hash of their id). How many rows each block sends to each destination chunk is drawn
+Rows lie in source blocks (by a hash of the whole row). How many rows each block sends to each destination chunk is drawn
 exactly: row by row of the matrix, a multivariate hypergeometric draw from the chunks' free places. A block's rows
 are put in random order and dealt by those counts, exchanged, and put in random order again inside each chunk. A
 shard is a fixed number of chunks, so the place of a row in its shard is the chunk's offset plus its rank there.
@@ -64,17 +64,17 @@ def even_parts(total: int, parts: int) -> list[int]:
     return [total // parts + (k < total % parts) for k in range(parts)]
 
 
-def shard(df: DataFrame, shards: int = 16, seed: int = 0, block_rows: int = BLOCK_ROWS, row_id: str = "doc_id") -> DataFrame:
+def shard(df: DataFrame, shards: int = 16, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of ``df`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard) in uniform random order.
 
     Shard sizes differ by one at most (larger ones first). Input columns named shard or slot are replaced. The order
     depends on the rows' values, the seed and the numbers of blocks alone, so a lost partition is recomputed alike;
-    rows equal in all columns are interchangeable. Nulls are values; an empty table gives an empty one.
+    rows equal in all columns are interchangeable, and lie in one block. Nulls are values; an empty table gives an empty one.
     """
     df = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in ("shard", "slot")])
     spark, cols = df.sparkSession, [F.col(f"`{f.name}`") for f in df.schema if not _unhashable(f.dataType)]
     n_name, block, key, rank, chunk = (free_name(df, x) for x in ("lq_n", "lq_block", "lq_key", "lq_rank", "lq_chunk"))
-    drawn = F.xxhash64(F.lit(seed), F.col(row_id))
+    drawn = F.xxhash64(F.lit(seed), *cols)
     total = df.count()
     blocks = int(min(MOST_BLOCKS, max(1, -(-total // block_rows))))
     per = int(min(max(1, MOST_BLOCKS // shards), max(1, -(-total // (block_rows * shards)))))
@@ -89,7 +89,7 @@ def shard(df: DataFrame, shards: int = 16, seed: int = 0, block_rows: int = BLOC
     starts = np.concatenate([[0], np.cumsum(capacity)])
     first = [int(starts[k] - starts[k - k % per]) for k in range(len(capacity))]
     local = Window.partitionBy(block).orderBy(key, *_order(df, cols))
-    sent = df.withColumn(block, at).withColumn(key, F.xxhash64(F.lit(seed + 1), drawn)).withColumn(rank, F.row_number().over(local) - 1)
+    sent = df.withColumn(key, drawn).withColumn(block, F.pmod(F.col(key), F.lit(blocks)).cast("int")).withColumn(key, F.xxhash64(F.lit(seed + 1), F.col(key))).withColumn(rank, F.row_number().over(local) - 1)
     sent = sent.join(F.broadcast(ends), block)
     # The chunk whose cumulated counts hold the rank: as many chunks end at or before it.
     sent = sent.withColumn(chunk, _upper_bound(F.col(n_name), F.col(rank))).drop(n_name, block, rank)

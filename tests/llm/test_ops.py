@@ -187,6 +187,15 @@ def test_sharding(spark, n):
     assert sorted(got, key=str) == sorted(((r.shard, r.slot, r.doc_id, r.text) for r in out.collect()), key=str)
 
 
+def test_sharding_spreads_one_id(spark):
+    rows = [(-1 if k % 3 == 0 else k, f"t{k}") for k in range(3000)]
+    out = sharding.shard(docs(spark, rows), shards=4, block_rows=250).select("doc_id", "shard", "slot").collect()
+    for s in range(4):
+        hot = [r.doc_id == -1 for r in sorted((r for r in out if r.shard == s), key=lambda r: r.slot)]
+        turns = sum(a != b for a, b in zip(hot, hot[1:], strict=False))
+        assert abs(sum(hot) - 250) < 60 and abs(turns - 333) < 80  # a uniform order turns 2 x 1/3 x 2/3 of the time
+
+
 def test_matrix_has_its_sums_and_mean():
     rng = np.random.default_rng(0)
     rows, cols = [10, 0, 25, 5], [8, 12, 20]
