@@ -8,9 +8,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodequery.llm import language_id, ngram_join, packing, queries, toxicity
-from lodequery.llm.common import free_name, materialize, prepare
+from lodequery.llm.common import free_name, map_columns, materialize, prepare
 from lodequery.sources.spread import spread
 
 #: SQL for the rows of run(): the stages learn models and encode tokens, which SQL can't express.
@@ -33,9 +34,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts for which no language can be told (null, or without a letter) go; every other text stays."""
+    """Texts for which no language can be told (null, or without a letter) go; every other text stays.
+
+    A text of no learned language stays: no labelled row says what such a text is, so any bound on the likelihood would
+    be a guess that drops good texts of names, code or rare words. Without labelled rows, letters alone decide.
+    """
     prepare(spark)
     model = language_id.train(docs, public_tokenizers.path(queries.PIECES))
+    if not model.langs:
+        has = free_name(docs, "lq_letter")
+        told = map_columns(docs, ["text"], [T.StructField(has, T.BooleanType())], lambda: lambda texts: [[bool(t and language_id.words_of(t)) for t in texts]])
+        return _only(told.where(F.col(has)), docs)
     named, back = docs, {}
     for c in ("score", "lang_pred"):
         if c in docs.columns:

@@ -100,3 +100,12 @@ def test_pipeline_takes_an_id_with_two_texts(spark, tmp_path):
     docs.unionByName(copies).write.parquet(f"{tmp_path}/documents.parquet")
     ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
     assert -5 in ids and not ids & {0, 2, 3000, 3001}
+
+
+def test_texts_stay_where_no_row_has_a_language(spark, tmp_path):
+    _table(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    out = corpus_pipeline.drop_no_language(spark, docs, str(tmp_path))
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    want = [r for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)]
+    assert sorted(map(str, out.collect())) == sorted(map(str, want)) and len(want) > 200
