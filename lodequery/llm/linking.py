@@ -173,4 +173,6 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"{name}: components have not settled after {rounds} rounds")
     return e.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id")

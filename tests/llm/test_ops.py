@@ -341,6 +341,12 @@ def test_components(spark):
     assert all(got[k] == 0 for k in range(1, 41)) and got[100] == got[60] == got[70] == 50
 
 
+def test_components_settle_or_raise(spark):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(40)], "id long, root long")
+    with pytest.raises(RuntimeError):
+        linking.components(edges, "t", rounds=2)
+
+
 def test_ids_pack_as_little_endian():
     ids, _ = automaton_codec.codec(WORD).encode("a")
     assert struct.unpack("<I", ids)[0] == WORD_LIB.encode("a", add_special_tokens=False).ids[0]
