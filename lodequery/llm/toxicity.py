@@ -2,7 +2,7 @@
 
 Two strings are alike as far as they share subsequences of ORDER characters, each weighted by DECAY to the stretch it
 spans; so a gap or an inserted character costs a factor and does not hide a word. Landmarks are words that labelled
-toxic texts hold far more often than clean ones. A sentence's features are its words' greatest kernel values with each
+toxic texts hold significantly more often than clean ones. A sentence's features are its words' greatest kernel values with each
 landmark, mapped by the Nyström matrix; a linear machine is trained on sentences, where a toxic text teaches by its
 most suspicious sentence. A text's score is that of its worst sentence.
 """
@@ -22,12 +22,12 @@ from pyspark.sql import types as T
 from .common import held_out, map_columns, only
 
 ORDER, DECAY = 4, 0.6
-#: Landmarks at most, and the least share of toxic texts that hold one.
-LANDMARKS, SHARE = 24, 0.06
+#: Landmarks at least, where so many words are in more toxic texts than their share: all significant ones, then the next best.
+LANDMARKS = 24
 #: Labelled texts learned from, about, of each class (the documented bound), and characters of a word that are compared.
 TRAIN_TEXTS, WORD_CHARS = 1500, 48
-#: Values below this say nothing about a word.
-FLOOR = 0.2
+#: Marks around words that are too short for a subsequence of ORDER letters.
+MARKS = "\x02\x03"
 MEMO = 250_000
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
 _TOKEN = re.compile(r"\S+")
@@ -80,40 +80,83 @@ def kernel(s: str, t: str, order: int = ORDER, decay: float = DECAY) -> float:
     return total * decay * decay
 
 
+def kernels(pairs: list[tuple[str, str]], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+    """``kernel`` of many pairs at once: the same recurrence on arrays, with sums over decaying stretches as products."""
+    out = np.empty(len(pairs))
+    turn = sorted(range(len(pairs)), key=lambda k: len(pairs[k][0]))
+    for k in turn:
+        if min(map(len, pairs[k])) < order:
+            out[k] = kernel(*pairs[k], order, decay)
+    turn = [k for k in turn if min(map(len, pairs[k])) >= order]
+    for at in range(0, len(turn), 1024):
+        some = turn[at : at + 1024]
+        s, t = (_codes([pairs[k][x] for k in some], fill) for x, fill in ((0, -1), (1, -2)))
+        n, m = s.shape[1], t.shape[1]
+        far = np.arange(m)[None, :] - np.arange(m)[:, None]
+        fall = np.where(far >= 0, decay ** np.maximum(far, 0), 0.0) * decay * decay
+        same = [(s[:, i, None] == t).astype(np.float64) for i in range(n)]
+        prev = np.ones((n + 1, len(some), m + 1))
+        for _ in range(1, order):
+            cur = np.zeros((n + 1, len(some), m + 1))
+            for i in range(1, n + 1):
+                cur[i] = decay * cur[i - 1]
+                cur[i][:, 1:] += (prev[i - 1][:, :-1] * same[i - 1]) @ fall
+            prev = cur
+        out[some] = sum((prev[i][:, :-1] * same[i]).sum(1) for i in range(n)) * decay * decay
+    return out
+
+
+def _codes(strings: list[str], fill: int) -> np.ndarray:
+    out = np.full((len(strings), max(map(len, strings))), fill, np.int32)
+    for row, x in zip(out, strings, strict=True):
+        row[: len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<i4")
+    return out
+
+
 class Model:
     """``landmarks`` and their kernel with themselves, the Nyström map folded into ``weights``, bias, and the sigmoid."""
 
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, a: float, b: float, base: float):
         self.landmarks, self.weights, self.bias, self.a, self.b, self.base = landmarks, weights, bias, a, b, base
-        self.own = [kernel(t, t) for t in landmarks]
+        self.forms = [_form(t) for t in landmarks]
+        self.own = [kernel(t, t) for t in self.forms]
         self.bits: dict[str, int] = {c: 1 << k for k, c in enumerate(sorted(set("".join(landmarks))))}
         self.letters = [sum({self.bits[c] for c in t}) for t in landmarks]
         self.key = uuid.uuid4().hex
         self.near: dict[int, tuple[int, ...]] = {}
 
-    def values(self, word: str) -> tuple[tuple[int, float], ...]:
-        """(landmark, kernel over the landmark's own) of a word where it is FLOOR or more.
+    def values(self, words: list[str]) -> list[tuple[tuple[int, float], ...]]:
+        """Per word (landmark, kernel over the landmark's own) where it is not 0.
 
         A landmark is compared with words that hold its letters, all of them (all but one from six different letters on).
         """
-        w = _JUNK.sub("", word)
-        got: dict[int, float] = {}
-        for k in range(0, max(1, len(w)), WORD_CHARS // 2):
-            part = w[k : k + WORD_CHARS]
-            letters = 0  # of the landmarks' letters, those in the part
-            for c in set(part):
-                letters |= self.bits.get(c, 0)
-            near = self.near.get(letters)
-            if near is None:
-                near = tuple(j for j, t in enumerate(self.letters) if (t & ~letters).bit_count() <= (t.bit_count() > 5))
-                if len(self.near) >= MEMO // 4:
-                    self.near.clear()
-                self.near[letters] = near
-            for j in near:
-                v = min(1.0, kernel(part, self.landmarks[j]) / self.own[j])
-                if v >= FLOOR:
-                    got[j] = max(v, got.get(j, 0.0))
-        return tuple(sorted(got.items()))
+        at: list[tuple[int, int]] = []
+        pairs: list[tuple[str, str]] = []
+        for k, word in enumerate(words):
+            w = _JUNK.sub("", word)
+            for c in range(0, max(1, len(w)), WORD_CHARS // 2):
+                part = w[c : c + WORD_CHARS]
+                for j in self._near(part):
+                    short = self.forms[j] is not self.landmarks[j]
+                    at.append((k, j))
+                    pairs.append((MARKS[0] + part + MARKS[1] if short else part, self.forms[j]))
+        got: list[dict[int, float]] = [{} for _ in words]
+        for (k, j), v in zip(at, kernels(pairs).tolist(), strict=True):
+            if v > 0:
+                got[k][j] = max(min(1.0, v / self.own[j]), got[k].get(j, 0.0))
+        return [tuple(sorted(g.items())) for g in got]
+
+    def _near(self, part: str) -> tuple[int, ...]:
+        letters = 0  # of the landmarks' letters, those in the part
+        for c in set(part):
+            letters |= self.bits.get(c, 0)
+        near = self.near.get(letters)
+        if near is None:
+            near = tuple(j for j, t in enumerate(self.letters) if (t & ~letters).bit_count() <= (t.bit_count() > 5))
+            if len(self.near) >= MEMO // 4:
+                self.near.clear()
+            self.near[letters] = near
+        return near
 
     def decision(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights + self.bias
@@ -122,28 +165,45 @@ class Model:
         return 1.0 / (1.0 + math.exp(min(700.0, max(-700.0, -(self.a * f + self.b)))))
 
 
+def _form(word: str) -> str:
+    """The string that stands for a landmark in the kernel: a word of fewer than ORDER letters lies between marks."""
+    return word if len(word) >= ORDER else MARKS[0] + word + MARKS[1]
+
+
 def nystroem(landmarks: list[str]) -> np.ndarray:
     """Inverse square root of the landmarks' normalised kernel matrix."""
-    own = [kernel(t, t) for t in landmarks]
-    g = np.array([[kernel(s, t) / math.sqrt(a * b) for t, b in zip(landmarks, own, strict=True)] for s, a in zip(landmarks, own, strict=True)])
+    forms = [_form(t) for t in landmarks]
+    own = [kernel(t, t) for t in forms]
+    letters = [set(t) for t in forms]
+    g = np.eye(len(forms))
+    # Without a letter in common the kernel is 0.
+    at = [(i, j) for i in range(len(forms)) for j in range(i) if letters[i] & letters[j]]
+    for (i, j), v in zip(at, kernels([(forms[i], forms[j]) for i, j in at]).tolist(), strict=True):
+        g[i, j] = g[j, i] = v / math.sqrt(own[i] * own[j])
     w, v = np.linalg.eigh(g)
     return (v / np.sqrt(np.maximum(w, 1e-6))) @ v.T
 
 
 def choose_landmarks(docs: list[tuple[str, int]]) -> list[str]:
-    """Words of four letters or more whose share of toxic texts is SHARE or more and ten times that of clean ones; best first."""
+    """Words in more toxic texts than chance gives any of the words: by the likelihood ratio, best first.
+
+    As many words are tested, a ratio that one of them would reach by chance is not enough; but the LANDMARKS best
+    are taken in any case, and the machine weighs them.
+    """
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for text, y in docs:
-        seen[y].update({w for w in (_JUNK.sub("", t) for t in _TOKEN.findall(text.lower())) if 4 <= len(w) <= 20})
+        seen[y].update({w for s in sentences(text) for w in (_JUNK.sub("", t) for t in words_of(s)) if 0 < len(w) <= WORD_CHARS})
     n1, n0 = sum(y for _, y in docs), sum(1 - y for _, y in docs)
     if not n1 or not n0:
         return []
-    rated = []
+    share, rated = n1 / (n1 + n0), []
     for w, c in seen[1].items():
-        p, q = c / n1, (seen[0][w] + 0.5) / (n0 + 1)
-        if c >= 3 and p >= SHARE and p > 10 * q:
-            rated.append((-c * math.log(p / q), w))
-    return [w for _, w in sorted(rated)[:LANDMARKS]]
+        q = seen[0][w]
+        if c > share * (c + q):
+            rated.append((-(c * math.log(c / (share * (c + q))) + (q * math.log(q / ((1 - share) * (c + q))) if q else 0.0)), w))
+    rated.sort()
+    least = math.log(max(len(seen[1]), 1))
+    return [w for k, (r, w) in enumerate(rated) if k < LANDMARKS or -r >= least]
 
 
 def fit(docs: list[tuple[str, int]], rounds: int = 3, c: float = 10.0) -> Model:
@@ -155,23 +215,26 @@ def fit(docs: list[tuple[str, int]], rounds: int = 3, c: float = 10.0) -> Model:
     if not m:
         return Model([], np.zeros(0), 0.0, 0.0, math.log(max(base, 1e-6) / max(1 - base, 1e-6)), base)
     model = Model(landmarks, np.zeros(m), 0.0, 1.0, 0.0, base)
-    memo: dict[str, tuple] = {}
+    every = sorted({w for text, _ in docs for s in sentences(text) for w in words_of(s)})
+    memo = {w: v for k in range(0, len(every), 2000) for w, v in zip(every[k : k + 2000], model.values(every[k : k + 2000]), strict=True)}
+    del every
     bags, y = [], np.array([2 * k - 1 for _, k in docs], np.float64)
     for text, _ in docs:
         rows = []
         for s in sentences(text):
             x = np.zeros(m)
             for w in words_of(s):
-                if w not in memo:
-                    memo[w] = model.values(w)
                 for j, v in memo[w]:
                     x[j] = max(x[j], v)
             rows.append(x)
         bags.append(np.array(rows) if rows else np.zeros((1, m)))
+    del memo
     z = nystroem(landmarks)
-    mapped = [b @ z for b in bags]
     # A toxic text's suspicious sentences are toxic (its worst one at least), a clean text's like sentences are clean.
     pick = [np.union1d(np.flatnonzero(b.max(1) >= 0.6), [b.sum(1).argmax()]) for b in bags]
+    for k, b in enumerate(bags):  # in place: both would be the driver's largest table twice
+        bags[k] = b @ z
+    mapped = bags
     u, bias = np.zeros(m), 0.0
     for _ in range(rounds):
         u, bias = _svm(np.concatenate([b[k] for b, k in zip(mapped, pick, strict=True)]), np.repeat(y, [len(k) for k in pick]), c)
@@ -240,15 +303,42 @@ class Scorer:
             _memo.update(key=model.key, words={})
         only("toxicity", lambda: (_memo.update(key=None, words={}), model.near.clear()))
         self.words: dict[str, tuple] = _memo["words"]
+        self.some: dict[str, tuple] = {}  # long words of this batch
         self.empty = model.probability(model.bias)
 
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """Scores of a batch: its words that are not remembered are compared with the landmarks together."""
+        self.meet(texts)
+        return [self.score(t) for t in texts]
+
+    def meet(self, texts: list[str | None]) -> None:
+        self.some.clear()
+        if not self.model.landmarks:
+            return
+        if len(self.words) >= MEMO:
+            self.words.clear()
+        new: set[str] = set()
+        for t in texts:
+            if t:
+                t = t.lower()
+                for w in _TOKEN.findall(t):
+                    new.update(x for x in (w, w.rstrip(".!?")) if x not in self.words)  # as it is, and at a sentence's end
+                if _SPACED.search(t):
+                    new.update(w for s in sentences(t) for w in words_of(s) if w not in self.words)
+                if len(new) > 5000:
+                    self._add(new)
+        self._add(new)
+
+    def _add(self, new: set[str]) -> None:
+        words = list(new)
+        for w, v in zip(words, self.model.values(words), strict=True):
+            (self.words if len(w) <= 64 else self.some)[w] = v
+        new.clear()
+
     def _slow(self, w: str) -> tuple:
-        v = self.model.values(w)
-        if len(w) <= 64:
-            if len(self.words) >= MEMO:
-                self.words.clear()
-            self.words[w] = v
-        return v
+        if w not in self.some and w not in self.words:
+            self._add({w})
+        return self.some[w] if w in self.some else self.words[w]
 
     def score(self, text: str | None) -> float:
         model = self.model
@@ -295,6 +385,6 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text", keep: list[s
 
     def make():
         scorer = Scorer(shared.value)
-        return lambda texts: [[scorer.score(t) for t in texts]]
+        return lambda texts: [scorer.scores(texts)]
 
     return map_columns(df, [text], [T.StructField("score", T.DoubleType())], make, keep)

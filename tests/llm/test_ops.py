@@ -313,6 +313,35 @@ def test_toxicity(spark):
     assert all(0 <= r.score < 0.7 for r in toxicity.score_toxicity(d, one, keep=["doc_id"]).collect())
 
 
+def test_toxicity_of_many_rare_words():
+    import random
+
+    rng = random.Random(7)
+    make = lambda some, n: ["".join(rng.choices(some, k=rng.choice((2, 3)))) for _ in range(n)]
+    words = make(["ta", "re", "lo", "ni", "mes", "sol", "pan"], 300)
+    bad = sorted(set(make(["gru", "bby", "ski", "vvo", "zaf", "quw", "chy"], 60)))[:38] + ["fuh", "idiot"]
+
+    def text(toxic):
+        w = rng.choices(words, k=30)
+        return " ".join(w[:15] + ([rng.choice(bad)] if toxic else []) + w[15:]) + "."
+
+    model = toxicity.fit([(text(k % 2), k % 2) for k in range(3000)])  # each in about 2.5 % of the toxic texts
+    scorer = toxicity.Scorer(model)
+    assert set(bad) <= set(model.landmarks)
+    assert sum(s >= 0.7 for s in scorer.scores([text(1) for _ in range(200)])) >= 190
+    assert sum(s >= 0.7 for s in scorer.scores([text(0) for _ in range(200)])) <= 10
+    assert [s >= 0.7 for s in scorer.scores(["tare lota fuh nita.", "tare lota f.u.h nita."])] == [True, True]
+    # A form with a letter between each two says something too, if less.
+    gapped, without = scorer.scores(["tare lota ixdxixoxt nita.", "tare lota nita."])
+    assert gapped > without
+
+
+def test_kernels_of_many_pairs():
+    some = ["", "a", "cat", "idiot", "ixdxixoxt", "banana", "anananan", "x" * 48, "\x02as\x03"]
+    pairs = [(a, b) for a in some for b in some]
+    assert np.allclose(toxicity.kernels(pairs), [toxicity.kernel(a, b) for a, b in pairs], rtol=1e-9, atol=0)
+
+
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
     rng = np.random.default_rng(4)
