@@ -1,8 +1,9 @@
-"""Similarity join on word n-grams by a MinHash LSH forest (operator 3).
+"""Similarity join on word n-grams by MinHash LSH (operator 3).
 
-Every text has a label of ``depth`` hashes in each of ``trees`` prefix tries. Matched prefixes are shortened from
-``depth`` down, the same for all tries, until a pair at the threshold is met in some trie with the target recall;
-texts below one node of that depth are candidates, and candidates are verified on their full shingle sets.
+In place of a forest of sorted prefix tries this is banding at a fixed depth: from ``depth`` down, the longest prefix
+at which a pair at the threshold meets in some of the ``trees`` labels with the target recall, the same for all,
+computed before any data is seen. Texts of one prefix are candidates, and candidates are verified on their full
+shingle sets.
 """
 
 from __future__ import annotations
