@@ -1,4 +1,4 @@
-"""Serving: request parameters to a page of results, with a result cache, suggestions and snippets (SRV1-SRV12)."""
+"""Serving: request parameters to a page of results, with a result cache, suggestions and snippets (SRV1-SRV9, SRV11, SRV12)."""
 
 from __future__ import annotations
 
