@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter, defaultdict
 
@@ -20,16 +22,21 @@ from pyspark.sql import types as T
 
 from .common import held_out, map_columns, only
 
-#: Labelled texts that a language is learned from, about (the documented bound), and the characters read of one word.
-TRAIN_TEXTS, WORD_CHARS, ROUNDS = 150, 40, 2
-MEMO = 250_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Labelled texts that a language is learned from, about (the documented bound), and rounds of expectation maximisation.
+TRAIN_TEXTS, ROUNDS = 150, 2
+#: Languages that a model may have; a column with more distinct values is not one of languages.
+MOST_LANGUAGES = 5000
+#: Words that a worker remembers, and the longest of them.
+MEMO, MEMO_CHARS = 250_000, 200
+#: Word characters of Python's regular expressions that are numbers but no decimal digits, and so no letters.
+_NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
+_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 #: Probability of a character that no piece covers, and the weight of the smoothing distribution.
 UNKNOWN, SMOOTH = 1e-7, 0.02
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower case, each begun by the vocabulary's word mark and cut to parts of at most WORD_CHARS."""
+    """Runs of letters (the Unicode categories L*), lower case."""
     return _WORD.findall(text.lower())
 
 
@@ -40,46 +47,48 @@ def vocabulary(path: str) -> list[str]:
     return sorted(p for p in pieces if p.lstrip("▁").isalpha())
 
 
-def _marked(word: str) -> list[str]:
-    w = "▁" + word
-    return [w[k : k + WORD_CHARS] for k in range(0, len(w), WORD_CHARS)]
-
-
 class Model:
     """``prob``: piece to its probability in each language; langs in sorted order."""
 
     def __init__(self, langs: list[str], prob: dict[str, tuple[float, ...]]):
         self.langs, self.prob, self.key = langs, prob, uuid.uuid4().hex
         self.heads = {p[:k] for p in prob for k in range(1, len(p))}
+        self.longest = max(map(len, prob), default=1)
 
     def forward(self, word: str) -> list[float]:
         """Log probability of a word in each language, all segmentations summed."""
+        prob, heads, some = self.prob, self.heads, range(len(self.langs))
+        w = "▁" + word
+        n = len(w)
         total = [0.0] * len(self.langs)
-        prob, heads = self.prob, self.heads
-        some = range(len(self.langs))
-        for w in _marked(word):
-            n = len(w)
-            alpha: list = [None] * (n + 1)
-            alpha[0] = [1.0] * len(self.langs)
-            for j in range(n):
-                a = alpha[j]
-                for i in range(j + 1, n + 1):
-                    s = w[j:i]
-                    p = prob.get(s)
-                    if p is None and i == j + 1:
-                        p = (UNKNOWN,) * len(self.langs)
-                    if p is not None:
-                        b = alpha[i]
-                        if b is None:
-                            alpha[i] = [x * y for x, y in zip(a, p)]  # noqa: B905
-                        else:
-                            for k in some:
-                                b[k] += a[k] * p[k]
-                    if s not in heads:
-                        break
-            for k in some:
-                total[k] += math.log(max(alpha[n][k], 1e-300))
-        return total
+        alpha: list = [None] * (n + 1)
+        alpha[0] = [1.0] * len(self.langs)
+        for j in range(n):
+            a = alpha[j]
+            if j % 16 == 0 and j:  # long words: what lies ahead is scaled, language by language
+                ahead = [x for x in alpha[j : j + self.longest + 1] if x is not None]
+                for k in some:
+                    if a[k] < 1e-100:
+                        by = a[k] or 1e-300
+                        total[k] += math.log(by)
+                        for x in ahead:
+                            x[k] /= by
+            alpha[j] = None
+            for i in range(j + 1, n + 1):
+                s = w[j:i]
+                p = prob.get(s)
+                if p is None and i == j + 1:
+                    p = (UNKNOWN,) * len(self.langs)
+                if p is not None:
+                    b = alpha[i]
+                    if b is None:
+                        alpha[i] = [x * y for x, y in zip(a, p)]  # noqa: B905
+                    else:
+                        for k in some:
+                            b[k] += a[k] * p[k]
+                if s not in heads:
+                    break
+        return [t + math.log(max(x, 1e-300)) for t, x in zip(total, alpha[n], strict=True)]
 
 
 def learn(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -> Model:
@@ -94,8 +103,7 @@ def learn(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -
         for _ in range(rounds):
             got: dict[str, float] = defaultdict(float)
             for word, times in counts[lang].items():
-                for w in _marked(word):
-                    _expect(w, times, q, every, heads, got)
+                _expect("▁" + word, times, q, every, heads, got)
             total = sum(got.values()) or 1.0
             q = {p: v / total for p, v in got.items()}
         learned[lang] = q
@@ -106,29 +114,38 @@ def learn(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -
 
 
 def _expect(w: str, times: int, q: dict, every: set, heads: set, got: dict) -> None:
+    """Add how often each piece is expected in ``times`` words ``w``, over all segmentations.
+
+    Forward sums are held as logarithms; going back, an end shares its chance among the arcs that lead to it.
+    """
     n = len(w)
-    arcs = []
+    into: list[list[tuple[int, str, float]]] = [[] for _ in range(n + 1)]
     alpha = [0.0] * (n + 1)
-    alpha[0] = 1.0
     for j in range(n):
-        if alpha[j] == 0.0:
-            continue
+        if j:
+            arcs = into[j]
+            if len(arcs) == 1:
+                alpha[j] = arcs[0][2]
+            else:
+                top = max(x for _, _, x in arcs)
+                alpha[j] = top + math.log(sum(math.exp(x - top) for _, _, x in arcs))
         for i in range(j + 1, n + 1):
             s = w[j:i]
             p = q.get(s, 1e-9) if s in every else UNKNOWN if i == j + 1 else 0.0
             if p:
-                arcs.append((j, i, s, p))
-                alpha[i] += alpha[j] * p
+                into[i].append((j, s, alpha[j] + math.log(p)))
             if s not in heads:
                 break
-    beta = [0.0] * (n + 1)
-    beta[n] = 1.0
-    for j, i, _, p in reversed(arcs):
-        beta[j] += p * beta[i]
-    if alpha[n] > 0:
-        for j, i, s, p in arcs:
-            if s in every:
-                got[s] += times * alpha[j] * p * beta[i] / alpha[n]
+    share = [0.0] * n + [1.0]
+    for i in range(n, 0, -1):
+        if share[i]:
+            top = max(x for _, _, x in into[i])
+            parts = [math.exp(x - top) for _, _, x in into[i]]
+            by = share[i] / sum(parts)
+            for (j, s, _), x in zip(into[i], parts, strict=True):
+                share[j] += x * by
+                if s in every:
+                    got[s] += times * x * by
 
 
 def train(df: DataFrame, vocab: str, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", texts: int = TRAIN_TEXTS) -> Model:
@@ -137,7 +154,9 @@ def train(df: DataFrame, vocab: str, text: str = "text", lang: str = "lang", doc
     Only words and their counts reach the driver, those of the sampled texts in full.
     """
     may = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit("language"), F.col(doc_id)), F.lit(1 << 30)).alias("draw"))
-    sizes = {r["lang"]: r["n"] for r in may.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in may.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{lang} has more than {MOST_LANGUAGES} values")
     if not sizes:
         return Model([], {})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, texts / n) * (1 << 30)))])
@@ -192,8 +211,10 @@ class Predictor:
                         w = words[k]
                         g = get(w)
                         if g is None:
-                            g = at[w] = base + len(new)
+                            g = base + len(new)
                             new.append(model.forward(w))
+                            if len(w) <= MEMO_CHARS:
+                                at[w] = g
                         got[k] = g
             ids.append(np.array(got, np.int64))
         if new:

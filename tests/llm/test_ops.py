@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodequery.llm import automaton_codec, cap_filters, chat, language_id, linking, ngram_join, packing, sharding, token_counts, topk, toxicity
+from lodequery.llm import automaton_codec, cap_filters, chat, language_id, linking, ngram_join, packing, queries, sharding, token_counts, topk, toxicity
 
 BYTE, WORD, PIECE = (tokens.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 BYTE_LIB, WORD_LIB = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
@@ -103,6 +103,65 @@ def test_language_counts_all_words(spark):
     assert want["aa"] | want["zz"] == {w.lstrip("▁") for w in seen}
 
 
+def segmentations(w):
+    """Every way to cut a string into parts."""
+    if not w:
+        yield []
+    for k in range(1, len(w) + 1):
+        for rest in segmentations(w[k:]):
+            yield [w[:k], *rest]
+
+
+def test_language_model_is_brute_force():
+    rng = np.random.default_rng(8)
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "abb", "bab", "▁ab"]
+    prob = {p: tuple(rng.random(2) / 3) for p in pieces}
+    m = language_id.Model(["x", "y"], prob)
+    unknown = (language_id.UNKNOWN,) * 2
+    for _ in range(40):
+        w = "".join(rng.choice(list("abc"), rng.integers(1, 9)))
+        want = sum(np.prod([prob[p] if p in prob else unknown if len(p) == 1 else (0.0, 0.0) for p in cut], 0) for cut in segmentations("▁" + w))
+        assert np.allclose(m.forward(w), np.log(want), rtol=1e-9)
+    # Expected pieces: each segmentation counts by its share of the word's probability.
+    q = {p: prob[p][0] for p in pieces}
+    heads = {p[:k] for p in pieces for k in range(1, len(p))}
+    for w in ("▁abab", "▁bcab", "▁a"):
+        got: dict = language_id.defaultdict(float)
+        language_id._expect(w, 3, q, set(pieces), heads, got)
+        total, want = 0.0, dict.fromkeys(pieces, 0.0)
+        for cut in segmentations(w):
+            p = np.prod([q[x] if x in q else language_id.UNKNOWN if len(x) == 1 else 0.0 for x in cut])
+            total += p
+            for x in cut:
+                if x in want:
+                    want[x] += p
+        assert all(abs(got[x] - 3 * want[x] / total) < 1e-9 for x in pieces)
+
+
+def test_long_words_are_summed_whole():
+    # Over a long word the sum is a linear recurrence: its logarithm follows from the recurrence on ratios.
+    m = language_id.Model(["x", "y"], {"▁": (0.5, 0.1), "a": (0.2, 0.001), "aa": (0.05, 0.01)})
+    n = 5000
+    for k, (p, q, r) in enumerate([(0.5, 0.2, 0.05), (0.1, 0.001, 0.01)]):
+        want, ratio = np.log(p) + np.log(q), q
+        for _ in range(n - 1):
+            ratio = q + r / ratio
+            want += np.log(ratio)
+        assert abs(m.forward("a" * n)[k] - want) < 1e-6 * abs(want)
+
+
+def test_language_of_awkward_rows(spark):
+    rows = [(k, "der und nicht mit schön" if k % 2 else "the and with from house", "de" if k % 2 else "en") for k in range(60)]
+    rows += [(100, "½ ² Ⅷ ①", "en"), (101, "½ über", None), (None, "the house", None), (None, None, None), (5, "der und", "de"), (5, "der und", "de"), (102, "the " * 100_000 + "x" * 50_000, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("Lang_Pred", F.lit("mine")).withColumn("draw", F.lit(1))
+    out = language_id.identify(d, language_id.train(d, PIECE))
+    assert out.columns == ["doc_id", "text", "lang", "draw", "lang_pred", "score"] and out.count() == len(rows)
+    got = {(r.doc_id, r.text and r.text[:9]): (r.lang_pred, r.score) for r in out.collect()}
+    assert got[100, "½ ² Ⅷ ①"] == got[None, None] == ("und", 0.0)
+    assert got[101, "½ über"][0] == "de" and got[None, "the house"][0] == "en" and got[102, "the the t"][0] == "en"
+    assert language_id.words_of("½a²bⅧ c1d_e") == ["a", "b", "c", "d", "e"]
+
+
 def brute_links(items, close):
     n = {i: sum(close(i, j) for j in items if j != i) for i in items}
     comp = {i: i for i in items}
@@ -278,6 +337,52 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), BYTE).count() == 0
 
 
+def test_packing_of_long_runs(spark):
+    rows = [(1, " " * 2_000_000), (2, "x" + "\n" * 2_000_000 + "y"), (3, "a" * 2_000_000), (4, "\t " * 30_000 + "<|endoftext|>" + " " * 30_000)]
+    parts: dict = {}
+    for r in packing.pack(docs(spark, rows), BYTE).collect():
+        parts.setdefault(r.doc_id, []).append((r.start, r.ids))
+    for i, t in rows:
+        ids = np.frombuffer(b"".join(b for _, b in sorted(parts[i])), "<u4").tolist()
+        assert ids == BYTE_LIB.encode(t, add_special_tokens=False).ids + [0]
+
+
+def test_packing_deals_ranges_by_tokens(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_BYTES", (40_000, 512 << 20))
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, "one text that a third of all rows repeat " * 8 if k % 3 == 0 else " ".join(rng.choice(words, rng.integers(1, 120)))) for k in range(2000)]
+    per: dict = {}
+    seen: dict = {}
+    for r in packing.pack(docs(spark, rows), BYTE, ids=False).collect():
+        per[r.sequence_id >> 32] = per.get(r.sequence_id >> 32, 0) + r.length
+        seen[r.doc_id] = seen.get(r.doc_id, 0) + r.length
+    assert len(per) > 5 and max(per.values()) < 1.5 * sum(per.values()) / len(per)
+    assert seen == {i: len(BYTE_LIB.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+
+
+def test_queries_are_the_library(spark, tmp_path):
+    rows = [*EDGE, (8, "Hello, WORLD!! it's <|endoftext|>\r\n  ½ Çédille 中文 \u3000x"), (9, None)]
+    docs(spark, rows, clash=False).withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: tuple(map(str, r))
+    byte = [(i, BYTE_LIB.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in rows]
+    got = [r[:4] for r in queries.op1_token_counts(spark, str(tmp_path)).collect()]
+    assert sorted(map(tuple, got), key=key) == sorted([(i, len(t.encode()), len(x), len(x) > 512) for i, x, t in byte], key=key)
+    got = [tuple(r[:4]) for r in queries.op8_automaton_codec(spark, str(tmp_path)).collect()]
+    want = []
+    for i, t in rows:
+        x = WORD_LIB.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(x), hashlib.sha256(struct.pack(f"<{len(x)}I", *x)).hexdigest(), hashlib.sha256(WORD_LIB.decode(x, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(got, key=key) == sorted(want, key=key)
+    got = sorted((tuple(r[:5]) for r in queries.op7_packing(spark, str(tmp_path)).collect()), key=key)
+    left = {}
+    for i, x, _ in byte:
+        left.setdefault((str(i), len(x) + 1), []).append(x + [0])
+    for i, start, n, crc, all_ in got:
+        assert any(zlib.crc32(struct.pack(f"<{n}I", *x[start : start + n])) == crc for x in left[str(i), all_])
+    assert sum(n for _, _, n, _, _ in got) == sum(len(x) + 1 for _, x, _ in byte)
+
+
 def test_hilbert_visits_neighbours():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     key = packing.hilbert(grid, 3)
