@@ -9,16 +9,17 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from .common import map_columns, materialize
 from .merges import byte_chars
@@ -26,8 +27,12 @@ from .merges import byte_chars
 LENGTH, EOD = 1024, 0
 #: Dimensions of the curve and bits of each; their product is the key's length.
 DIMS, BITS = 4, 8
-#: Bytes of token ids that a range should hold.
-RANGE_BYTES = 8 << 20
+#: Bytes of token ids that a range should hold: a RANGES-th of all of them, but within these bounds.
+RANGE_BYTES, RANGES = (8 << 20, 512 << 20), 4096
+#: Bits of a curve key that the histogram of tokens has: its rows, at most 2**HISTOGRAM_BITS, go through the driver.
+HISTOGRAM_BITS = 16
+#: White space of this length is too much for the faster encoder's regular expressions.
+_LONG = re.compile(r"\s{20000}")
 _SEED = 424242
 #: The vocabulary's pre-splitting (a fixed value).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,8 +55,18 @@ def _encoder(path: str):
     return enc, np.concatenate([ids, np.array(list(special.values()), np.uint32)]), int(max(vocab.values(), default=0)) + len(special) + 1
 
 
+@cache
+def _library(path: str) -> Tokenizer:
+    out = Tokenizer.from_file(path)
+    out.no_padding()
+    out.no_truncation()
+    return out
+
+
 def encode(path: str, text: str) -> np.ndarray:
     """Ids of a text (uint32), special strings inside it as the library's default has them."""
+    if len(text) >= 20_000 and _LONG.search(text):
+        return np.array(_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
     enc, ids, _ = _encoder(path)
     return ids[enc.encode_to_numpy(text, allowed_special="all")]
 
@@ -108,9 +123,10 @@ def pack(df: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "text",
 
     A document is its token ids and then id 0; a null or empty text is id 0 alone. Pieces fill sequences of ``length``
     without gaps; the last sequence of a range of the curve may be short and would be padded. sequence_id is the range's
-    number times 2**32 plus the sequence's number there. Documents of equal keys are ordered by a hash of their ids and
-    doc_id, so one group of copies spreads over several ranges. A null doc_id is a document like any other, repeated rows
-    are packed each. Other columns are ignored.
+    number times 2**32 plus the sequence's number there. Ranges hold about equal numbers of tokens: a histogram of
+    tokens over the curve says where each cell's ranges begin, and a cell with more tokens than a range holds is dealt to
+    several by a hash of ids and doc_id, so one group of copies spreads over ranges. A null doc_id is a document like any
+    other, repeated rows are packed each. Other columns are ignored.
     """
     wide = 2 if _encoder(vocab)[2] <= 1 << 16 else 4
     new = [T.StructField("key", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())]
@@ -132,18 +148,31 @@ def pack(df: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "text",
         return f
 
     docs = map_columns(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["text"], new, make, ["doc_id"])
-    docs = materialize(docs, "ids").withColumn("tie", F.xxhash64("tie", "doc_id"))
-    tokens = docs.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, math.ceil(tokens * wide / RANGE_BYTES))
-    docs = docs.repartitionByRange(ranges, "key", "tie").sortWithinPartitions("key", "tie", "doc_id", "ids")
+    cell = F.shiftright("key", DIMS * BITS - HISTOGRAM_BITS)
+    docs = materialize(docs, "ids").withColumn("tie", F.xxhash64("tie", "doc_id")).withColumn("cell", cell)
+    held = docs.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells, tokens = held.column("cell").to_numpy(), held.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(cells)
+    cells, tokens = cells[order], tokens[order]
+    total = int(tokens.sum())
+    size = min(max(total * wide / RANGES, RANGE_BYTES[0]), RANGE_BYTES[1]) / wide
+    ranges = max(1, math.ceil(total / size))
+    # At most 2**HISTOGRAM_BITS rows: where a cell starts, and how far it reaches, in ranges.
+    starts = (np.cumsum(tokens) - tokens) * (ranges / max(total, 1))
+    table = pa.table({"cell": pa.array(cells, pa.int64()), "begin": pa.array(starts, pa.float64()), "reach": pa.array(tokens * (ranges / max(total, 1)), pa.float64())})
+    docs = docs.join(F.broadcast(docs.sparkSession.createDataFrame(table)), "cell")
+    at = F.floor(F.col("begin") + F.col("reach") * F.pmod("tie", F.lit(1 << 40)) / float(1 << 40))
+    docs = docs.withColumn("range", F.least(at, F.lit(ranges - 1)).cast("int"))
+    docs = docs.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "key", "tie", "doc_id", "ids")
 
     def cut(batches):
-        part = TaskContext.get().partitionId()
-        seq, at = part << 32, 0
+        seq, at, now = 0, 0, -1
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * ids
         for b in batches:
             out: list[list] = [[] for _ in names]
-            for doc, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for doc, n, raw, part in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if part != now:
+                    seq, at, now = part << 32, 0, part
                 full = np.frombuffer(raw, f"<u{wide}").astype("<u4")
                 start = 0
                 while start < n:
@@ -159,4 +188,4 @@ def pack(df: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=names)
 
     schema = T.StructType([docs.schema["doc_id"]] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [T.StructField("ids", T.BinaryType())] * ids)
-    return docs.select("doc_id", "n", "ids").mapInArrow(cut, schema)
+    return docs.select("doc_id", "n", "ids", "range").mapInArrow(cut, schema)
