@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodequery.llm import automaton_codec, cap_filters, chat, language_id, linking, ngram_join, packing, queries, sharding, token_counts, topk, toxicity
+from lodequery.llm import automaton_codec, cap_filters, chat, language_id, linking, ngram_join, packing, queries, sharding, token_counts, tokenization, topk, toxicity
 
 BYTE, WORD, PIECE = (tokens.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 BYTE_LIB, WORD_LIB = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
@@ -36,7 +36,8 @@ def test_counts_of_every_prefix(text):
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(TEXTS, PARTS))
 def test_codec_is_the_library(text):
-    ids, decoded = automaton_codec.codec(WORD).encode(text)
+    ids = automaton_codec.codec(WORD).encode(text)
+    decoded = automaton_codec.codec(WORD).decode(ids)
     want = WORD_LIB.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ids, "<u4").tolist() == want and decoded == WORD_LIB.decode(want, skip_special_tokens=False)
 
@@ -66,6 +67,35 @@ def test_codec_rows(spark):
     assert automaton_codec.encode_decode(docs(spark, []), WORD).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=14), st.lists(st.text("abc", min_size=1, max_size=14), min_size=1, max_size=20))
+def test_automaton_is_the_merges(picks, words):
+    from tokenizers import models
+
+    vocab, merges = {c: k for k, c in enumerate("abc")}, []
+    for i, j in picks:
+        names = list(vocab)
+        u, v = names[i % len(names)], names[j % len(names)]
+        if u + v not in vocab:
+            vocab[u + v] = len(vocab)
+            merges.append((u, v))
+    lib = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+    table = tokenization.CharTable(vocab, merges, "")
+    for w in words:
+        assert table.encode(w) == lib.encode(w).ids
+
+
+def test_automaton_shares_states_and_begins_anew(monkeypatch):
+    c = automaton_codec.codec(WORD)
+    states = c.automaton.tokens
+    assert len(set(states.after.values())) < len(states.born)
+    monkeypatch.setattr(tokenization, "STATES", 40)
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        w = "".join(rng.choice(list("abehtnoirs"), rng.integers(1, 14)))
+        assert np.frombuffer(c.encode(w), "<u4").tolist() == WORD_LIB.encode(w, add_special_tokens=False).ids
+
+
 def test_forward_sums_all_segmentations():
     m = language_id.Model(["x"], {"▁": (0.1,), "a": (0.2,), "b": (0.3,), "ab": (0.05,), "▁a": (0.04,)})
     want = 0.1 * 0.2 * 0.3 + 0.1 * 0.05 + 0.04 * 0.3
@@ -540,5 +570,5 @@ def test_components_settle_or_raise(spark):
 
 
 def test_ids_pack_as_little_endian():
-    ids, _ = automaton_codec.codec(WORD).encode("a")
+    ids = automaton_codec.codec(WORD).encode("a")
     assert struct.unpack("<I", ids)[0] == WORD_LIB.encode("a", add_special_tokens=False).ids[0]
