@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from .common import free_name
 
-#: Rows that a block or chunk should hold, and the most blocks, and chunks of all shards; beyond, they grow and are sorted on disk.
-BLOCK_ROWS, MOST_BLOCKS = 4096, 1024
+#: Rows that a block or chunk should hold, and the most blocks, and chunks of all shards, of the matrix; beyond, each is
+#: ordered in parts by the leading bits of its random keys, at most MOST_PARTS of them.
+BLOCK_ROWS, MOST_BLOCKS, MOST_PARTS = 4096, 1024, 256
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -72,12 +73,13 @@ def shard(df: DataFrame, shards: int = 16, seed: int = 0, block_rows: int = BLOC
     rows equal in all columns are interchangeable, and lie in one block. Nulls are values; an empty table gives an empty one.
     """
     df = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in ("shard", "slot")])
-    spark, cols = df.sparkSession, [F.col(f"`{f.name}`") for f in df.schema if not _unhashable(f.dataType)]
+    spark, cols = df.sparkSession, [F.to_json(F.struct(f"`{f.name}`")) if _unhashable(f.dataType) else F.col(f"`{f.name}`") for f in df.schema]
     n_name, block, key, rank, chunk = (free_name(df, x) for x in ("lq_n", "lq_block", "lq_key", "lq_rank", "lq_chunk"))
     drawn = F.xxhash64(F.lit(seed), *cols)
     total = df.count()
     blocks = int(min(MOST_BLOCKS, max(1, -(-total // block_rows))))
     per = int(min(max(1, MOST_BLOCKS // shards), max(1, -(-total // (block_rows * shards)))))
+    parts = int(min(MOST_PARTS, max(1, -(-total // (block_rows * MOST_BLOCKS)))))
     at = F.pmod(drawn, F.lit(blocks)).cast("int")
     have = {r[block]: r[n_name] for r in df.select(at.alias(block)).groupBy(block).agg(F.count("*").alias(n_name)).collect()}
     sizes = even_parts(total, shards)
@@ -88,18 +90,38 @@ def shard(df: DataFrame, shards: int = 16, seed: int = 0, block_rows: int = BLOC
     ends = spark.createDataFrame([(k, row) for k, row in enumerate(np.cumsum(matrix, 1).tolist())], schema)
     starts = np.concatenate([[0], np.cumsum(capacity)])
     first = [int(starts[k] - starts[k - k % per]) for k in range(len(capacity))]
-    local = Window.partitionBy(block).orderBy(key, *_order(df, cols))
-    sent = df.withColumn(key, drawn).withColumn(block, F.pmod(F.col(key), F.lit(blocks)).cast("int")).withColumn(key, F.xxhash64(F.lit(seed + 1), F.col(key))).withColumn(rank, F.row_number().over(local) - 1)
+    sent = df.withColumn(key, drawn).withColumn(block, F.pmod(F.col(key), F.lit(blocks)).cast("int")).withColumn(key, F.xxhash64(F.lit(seed + 1), F.col(key)))
+    sent = _ranked(sent, block, F.col(key), [F.col(key), *_order(cols)], parts, rank)
     sent = sent.join(F.broadcast(ends), block)
     # The chunk whose cumulated counts hold the rank: as many chunks end at or before it.
     sent = sent.withColumn(chunk, _upper_bound(F.col(n_name), F.col(rank))).drop(n_name, block, rank)
-    there = Window.partitionBy(chunk).orderBy(F.xxhash64(F.lit(seed + 2), F.col(key)), F.col(key), *_order(df, cols))
+    again = F.xxhash64(F.lit(seed + 2), F.col(key))
+    sent = _ranked(sent, chunk, again, [again, F.col(key), *_order(cols)], parts, rank)
     offsets = F.array(*[F.lit(x).cast("long") for x in first])
-    slot = (F.element_at(offsets, F.col(chunk) + 1) + F.row_number().over(there) - 1).cast("long")
+    slot = (F.element_at(offsets, F.col(chunk) + 1) + F.col(rank)).cast("long")
     out = sent.withColumn("slot", slot).withColumn("shard", F.floor(F.col(chunk) / per).cast("int"))
     return out.select(*[f"`{c}`" for c in df.columns], "shard", "slot")
 
 
+def _ranked(df: DataFrame, group: str, key: Column, order: list[Column], parts: int, name: str) -> DataFrame:
+    """``df`` with the rank, from 0, of each row in its group by ``order``, which begins with ``key``, a hash.
+
+    With more than one part, a group is ordered in parts by the key's leading bits, and a part starts where the counts
+    of those before it end: a table of at most MOST_BLOCKS * MOST_PARTS rows.
+    """
+    if parts == 1:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))
+    part, begin = free_name(df, "lq_part"), free_name(df, "lq_begin")
+    # The signed key, shifted to start at 0, over the width of a part: rises with the key.
+    df = df.withColumn(part, F.least(F.floor((F.shiftright(key, 32) + F.lit(1 << 31)) * parts / F.lit(1 << 32)), F.lit(parts - 1)).cast("int"))
+    sizes = df.groupBy(group, part).agg(F.count("*").alias(begin))
+    before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(begin, F.coalesce(F.sum(begin).over(before), F.lit(0)))
+    df = df.join(F.broadcast(sizes), [group, part])
+    turn = F.row_number().over(Window.partitionBy(group, part).orderBy(*order)) - 1
+    return df.withColumn(name, (F.col(begin) + turn).cast("long")).drop(part, begin)
+
+
 def _upper_bound(ends: Column, rank: Column) -> Column:
     return F.size(F.filter(ends, lambda e: e <= rank)).cast("int")
 
@@ -112,6 +134,6 @@ def _unhashable(t: T.DataType) -> bool:
     return isinstance(t, T.MapType) or t.typeName() == "variant"
 
 
-def _order(df: DataFrame, cols: list[Column]) -> list[Column]:
+def _order(cols: list[Column]) -> list[Column]:
     """Ties of the random key are broken by a second hash of the whole row; what still ties is equal."""
     return [F.xxhash64(F.lit(-1), *cols)]
