@@ -9,6 +9,7 @@ in double precision decides.
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
 import numpy as np
@@ -21,8 +22,9 @@ from .common import materialize
 from .linking import link, numbered, settle
 
 THRESHOLD = 0.98
-#: Blocks, code words a block (fewer in few dimensions), and independent codes.
-BLOCKS, WORDS, ROUNDS = 2, 256, 2
+#: Blocks, bounds of the code words a block (fewer in few dimensions), and independent codes. There are about as many
+#: filters as vectors, so that a cap holds as many however large the table is.
+BLOCKS, WORDS, ROUNDS = 2, (64, 32_768), 2
 #: A vector is in the caps of all filters whose product is at most SLACK / sqrt(dimensions) below its best one. Of
 #: 40,000 random pairs at the threshold in 64 dimensions, none failed to share a cap of one code.
 SLACK = 0.36
@@ -30,14 +32,14 @@ _SEED = 77
 
 
 @cache
-def _code(dim: int, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _code(dim: int, k: int, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Rotation, and per block its code words over all dimensions (scaled so that a filter has length 1)."""
     rng = np.random.default_rng([_SEED, dim, k])
     q = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
     out = []
     blocks = min(BLOCKS, dim)
     for part in np.array_split(np.arange(dim), blocks):
-        w = rng.normal(size=(min(WORDS, 2 ** len(part)), len(part)))
+        w = rng.normal(size=(min(words, 2 ** len(part)), len(part)))
         w /= np.linalg.norm(w, axis=1, keepdims=True)
         full = np.zeros((len(w), dim))
         full[:, part] = w / np.sqrt(blocks)
@@ -45,14 +47,19 @@ def _code(dim: int, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return q, out
 
 
-def caps(x: np.ndarray, slack: float = SLACK, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def words_for(rows: int) -> int:
+    """Code words a block for a table of so many vectors: a power of two of at least their root."""
+    return min(max(1 << max(math.isqrt(max(rows - 1, 0)), 0).bit_length(), WORDS[0]), WORDS[1])
+
+
+def caps(x: np.ndarray, words: int, slack: float = SLACK, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of every cap that holds a unit row of ``x``."""
     n, dim = x.shape
     rows, filters = [], []
     for k in range(rounds):
-        q, words = _code(dim, k)
+        q, code = _code(dim, k, words)
         y = x @ q
-        s = [y @ w.T for w in words]
+        s = [y @ w.T for w in code]
         while len(s) > 2:  # halves of the product code
             s = [(s[i][:, :, None] + s[i + 1][:, None, :]).reshape(n, -1) if i + 1 < len(s) else s[i] for i in range(0, len(s), 2)]
         left, right = s[0], s[1] if len(s) > 1 else np.zeros((n, 1))
@@ -113,6 +120,8 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     sig = src.withColumn("ok", usable)
     classes = sig.where("ok").groupBy("l", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = numbered(classes, "vectors")
+    words = words_for(classes.count())
+    chunk = max(8, min(256, (1 << 20) // words))
 
     def keys(batches):
         for b in batches:
@@ -123,11 +132,11 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
             out: tuple[list, list, list] = ([], [], [])
             for d in sorted({len(g) for g in good}):
                 pick = [k for k, g in enumerate(good) if len(g) == d]
-                for s in range(0, len(pick), 256):
-                    part = pick[s : s + 256]
+                for s in range(0, len(pick), chunk):
+                    part = pick[s : s + chunk]
                     x = np.stack([good[k] for k in part])
                     x /= np.sqrt((x * x).sum(1, keepdims=True))
-                    r, f = caps(x)
+                    r, f = caps(x, words)
                     out[0].extend(ids[at[part[k]]] for k in r.tolist())
                     out[1].extend(labs[at[part[k]]] for k in r.tolist())
                     out[2].extend((f + (np.int64(d) << np.int64(44))).tolist())
