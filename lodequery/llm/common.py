@@ -27,10 +27,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset, one of our own in local mode (tests), else an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="lodequery-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -41,10 +43,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/lq-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append((spark, path))
+    written(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the interpreter ends."""
+    _made.append((spark, path))
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
@@ -52,8 +59,8 @@ def _clean() -> None:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone: then its owner clears the shared folder
-            return
+        except Exception:  # noqa: S112  the session may be gone: then its owner clears the shared folder
+            continue
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -7,13 +7,15 @@ A last pass returns the scores above that value, and of those equal to it the sm
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, work_dir, written
 
 #: Queries that are broadcast at once (the bound of what is broadcast), bins of a histogram, and vectors scored at once.
 QUERY_BLOCK, BINS, CHUNK = 4096, 256, 512
@@ -69,7 +71,10 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id",
     asked = materialize(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(1 << 20))), "asked")
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
     shapes = asked.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect()
-    out = None
+    # |score| <= |query|_1 * max |component|: the first interval holds every score.
+    most = data.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0
+    out, path = None, f"{work_dir(spark)}/lq-found-{uuid.uuid4().hex}"
+    several = sum(len(_parts(n)) for _, n in shapes) > 1
     for dim, n in shapes:
         for low, high in _parts(n):
             rows = asked.where((F.size("v") == dim) & (F.col("block") >= low) & (F.col("block") < high)).select("id", "v").orderBy("id").toArrow()
@@ -77,8 +82,12 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id",
                 continue
             ids = rows.column("id").to_numpy()
             x = rows.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), dim)
-            got = _block(spark, data, _Block(ids, x), k)
-            out = got if out is None else out.unionByName(got)
+            out = _block(spark, data, _Block(ids, x), k, most)
+            if several:  # each block's result is written, so the plan does not grow with their number
+                out.write.mode("append").parquet(path)
+    if out is not None and several:
+        written(spark, path)
+        return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema) if out is None else out
 
 
@@ -89,10 +98,8 @@ def _parts(n: int) -> list[tuple[int, int]]:
     return list(zip(ends[:-1], ends[1:], strict=True))
 
 
-def _block(spark, data: DataFrame, block: _Block, k: int) -> DataFrame:
+def _block(spark, data: DataFrame, block: _Block, k: int, most: int) -> DataFrame:
     sc, q = spark.sparkContext, len(block.ids)
-    # |score| <= |query|_1 * max |component|: the first interval holds every score.
-    most = data.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0
     reach = np.abs(block.x).sum(1) * max(most, 1)
     block.low = -reach
     block.width = np.maximum(1, -(-(2 * reach + 1) // BINS))
