@@ -16,6 +16,8 @@ from .common import materialize
 
 #: Members, and payload bytes, that a block may hold; a task reads two blocks.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 24 << 20
+#: A node with more than so large a part of all edges, and so many, is dealt to SALTS tasks.
+HOT_SHARE, HOT_ROWS, SALTS = 1000, 128, 64
 
 
 def link(keys: DataFrame, items: DataFrame, verify, name: str) -> DataFrame:
@@ -157,22 +159,28 @@ def settle(classes: DataFrame, found: DataFrame, name: str) -> DataFrame:
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Connected components of (id, root) by alternating large-star and small-star steps: (id, component_id).
 
-    Each round is written to the shared folder; the driver sees a count and a checksum, never an edge.
+    Each round is written to the shared folder, until every id has one edge and no id that it leads to has an edge on;
+    the driver sees counts, never an edge.
     """
     e = materialize(edges.where("id <> root").select(F.greatest("id", "root").alias("u"), F.least("id", "root").alias("v")).distinct(), f"{name}-edges")
-    last = None
+    rows = e.count()
     for k in range(rounds):
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        small = small.union(least.select("u", "m")).where("u <> v").distinct()
-        e = materialize(small, f"{name}-edges{k}")
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"{name}: components have not settled after {rounds} rounds")
-    return e.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id")
+        both = _with_least(e.union(e.select("v", "u")), 2 * rows).withColumn("m", F.least("u", "m"))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _with_least(large, rows).select(F.explode(F.array(F.struct(F.greatest("v", "m").alias("u"), "m"), F.struct("u", "m"))).alias("e")).select("e.u", F.col("e.m").alias("v"))
+        e = materialize(small.where("u <> v").distinct(), f"{name}-edges{k}")
+        rows, ids = e.agg(F.count("*"), F.count_distinct("u")).first()
+        ends = e.select("v").distinct()
+        if rows == ids and ends.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+    raise RuntimeError(f"{name}: components have not settled after {rounds} rounds")
+
+
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """(u, v) with m, the least v of u. The edges of a u with many of them are dealt to SALTS tasks."""
+    per = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    # Fewer than HOT_SHARE of the u can have more than a HOT_SHARE-th of the edges: a bounded broadcast.
+    hot = per.where(F.col("n") > max(rows // HOT_SHARE, HOT_ROWS))
+    salted = edges.join(F.broadcast(hot.select("u", F.lit(True).alias("hot"))), "u", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0)).drop("hot")
+    least = per.withColumn("salt", F.explode(F.when(F.col("n") > max(rows // HOT_SHARE, HOT_ROWS), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).select("u", F.col("salt").cast("long").alias("salt"), "m")
+    return salted.withColumn("salt", F.col("salt").cast("long")).join(least, ["u", "salt"]).select("u", "v", "m")

@@ -276,6 +276,20 @@ def test_sharding(spark, n):
     assert sorted(got, key=str) == sorted(((r.shard, r.slot, r.doc_id, r.text) for r in out.collect()), key=str)
 
 
+def test_sharding_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_BLOCKS", 4)
+    rows = [(k % 200 if k % 7 else None, f"t{k % 90}") for k in range(900)]
+    d = docs(spark, rows).withColumn("m", F.create_map(F.lit("a"), F.col("text")))
+    out = sharding.shard(d, shards=3, block_rows=10)
+    got = [(r.shard, r.slot, r.doc_id, r.text) for r in out.collect()]
+    assert [sorted(s for k, s, *_ in got if k == j) for j in range(3)] == [list(range(300))] * 3
+    assert sorted(map(str, ((i, t) for *_, i, t in got))) == sorted(map(str, rows))
+    assert sorted(got, key=str) == sorted(((r.shard, r.slot, r.doc_id, r.text) for r in out.collect()), key=str)
+    # In a uniform order the mean slot of the rows without an id is that of all.
+    mean = np.mean([s for _, s, i, _ in got if i is None])
+    assert abs(mean - 149.5) < 4 * 300 / np.sqrt(12 * 129)
+
+
 def test_sharding_spreads_one_id(spark):
     rows = [(-1 if k % 3 == 0 else k, f"t{k}") for k in range(3000)]
     out = sharding.shard(docs(spark, rows), shards=4, block_rows=250).select("doc_id", "shard", "slot").collect()
@@ -327,8 +341,10 @@ def test_caps_miss_no_near_pair():
     w = rng.normal(size=x.shape)
     w -= (w * x).sum(1, keepdims=True) * x
     y = 0.98 * x + np.sqrt(1 - 0.98**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
-    a, b = (set(zip(*(v.tolist() for v in cap_filters.caps(z, rounds=1)), strict=True)) for z in (x, y))
-    assert len({i for i, _ in a & b}) == 3000
+    for words in (64, 256, 1024):
+        a, b = (set(zip(*(v.tolist() for v in cap_filters.caps(z, words)), strict=True)) for z in (x, y))
+        assert len({i for i, _ in a & b}) == 3000 and len(a) < 60 * 3000
+    assert [cap_filters.words_for(n) for n in (0, 1, 5000, 51_282, 10**6, 10**12)] == [64, 64, 128, 256, 1024, 32_768]
 
 
 def test_chat(spark):
@@ -563,6 +579,14 @@ def test_components(spark):
     assert all(got[k] == 0 for k in range(1, 41)) and got[100] == got[60] == got[70] == 50
 
 
+def test_components_of_a_hot_node(spark, monkeypatch):
+    monkeypatch.setattr(linking, "HOT_ROWS", 20)
+    edges = [(k, 7) for k in range(8, 400)] + [(1000 + k, 399 - k) for k in range(100)] + [(5000, 4999), (4999, 4000), (7, 3)]
+    got = dict(map(tuple, linking.components(spark.createDataFrame(edges, "id long, root long"), "t").collect()))
+    assert all(got[k] == 3 for k in [*range(7, 400), *range(1000, 1100)]) and got[5000] == got[4999] == 4000 and 3 not in got
+    assert linking.components(spark.createDataFrame([], "id long, root long"), "t").count() == 0
+
+
 def test_components_settle_or_raise(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(40)], "id long, root long")
     with pytest.raises(RuntimeError):
