@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import math
 import re
-import sys
-import unicodedata
 import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +27,17 @@ TRAIN_TEXTS, ROUNDS = 150, 2
 MOST_LANGUAGES = 5000
 #: Words that a worker remembers, and the longest of them.
 MEMO, MEMO_CHARS = 250_000, 200
-#: Word characters of Python's regular expressions that are numbers but no decimal digits, and so no letters.
-_NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
-_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+#: Letters, and numbers that are no decimal digits; and letters alone, which is slower.
+_ALMOST, _WORD = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 #: Probability of a character that no piece covers, and the weight of the smoothing distribution.
 UNKNOWN, SMOOTH = 1e-7, 0.02
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters (the Unicode categories L*), lower case."""
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    words = _ALMOST.findall(text)
+    return words if text.isascii() or not words or "".join(words).isalpha() else _WORD.findall(text)
 
 
 def vocabulary(path: str) -> list[str]:
