@@ -149,11 +149,11 @@ def keep_pages(pages: DataFrame, cycles: int, cfg: Config = Config(), hotspot: C
     first = cycles - cfg.max_distance - 1
     wave = first == 0 if cfg.wave_period == 0 else first % cfg.wave_period == 0
     d = F.col("distance")
-    if cfg.size_limit:
-        unseen = pages.where("last_success = 0").orderBy(F.md5("url"), "url")
-        n = pages.where("last_success > 0").count()
-        pages = pages.where("last_success > 0").unionByName(unseen.limit(max(0, cfg.size_limit - n)))
     inside = pages.where((d <= cfg.max_distance) & ~too_many_retries(cfg, d, F.col("retries"), F.col("n_inlinks")) & ((d > 0) | hotspot))
+    if cfg.size_limit:  # of the pages that stay, unseen ones go once the limit is passed: one more than it gets in
+        seen = inside.where("last_success > 0")
+        room = max(0, cfg.size_limit - seen.count() + 1)
+        inside = seen.unionByName(inside.where("last_success <= 0").orderBy(F.md5("url"), "url").limit(room))
     beyond = (d == cfg.max_distance + 1) if wave else (d > cfg.max_distance + 1)
     front = pages.where(beyond & (F.col("last_success") == 0) & (F.col("retries") == 0))
     return inside.unionByName(front.orderBy(F.md5("url"), "url").limit(cfg.front_size))

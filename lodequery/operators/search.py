@@ -79,8 +79,12 @@ def matches(q: ast.Query, ix: Index) -> Column:
     if isinstance(q, ast.Difference):
         return matches(q.left, ix) & ~matches(q.right, ix)
     if isinstance(q, ast.Range):
-        v = F.col(ix.values[q.field])
-        return F.coalesce((v >= q.start if q.with_start else v > q.start) & (v <= q.end if q.with_end else v < q.end), F.lit(False))
+        def inside(v: Column) -> Column:
+            return (v >= q.start if q.with_start else v > q.start) & (v <= q.end if q.with_end else v < q.end)
+
+        return F.coalesce(inside(F.col(ix.values[q.field])) if q.field in ix.values else F.exists(ix.tokens[q.field], inside), F.lit(False))
+    if isinstance(q, ast.Prefix):
+        return F.coalesce(F.exists(ix.tokens[q.field], lambda x: F.startswith(x, F.lit(q.start))), F.lit(False))
     if isinstance(q, ast.Payload):
         return F.col(ix.payloads[q.field]).isNotNull()
     if isinstance(q, ast.MatchAll):

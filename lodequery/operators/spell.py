@@ -56,7 +56,12 @@ def _swap(a: str, b: str) -> float:
 
 
 def distance(s: str, t: str) -> float:
-    """Weighted edit distance with swaps of neighbours (FN16); its border holds single costs, not sums."""
+    """Weighted edit distance with swaps of neighbours (FN16); its border holds single costs, not sums.
+
+    The distance to an empty word is the other word's length.
+    """
+    if not s or not t:
+        return float(len(s) + len(t))
     drop = [0.0] + [SILENT.get(c, EDIT) for c in s]
     add = [0.0] + [SILENT.get(c, EDIT) for c in t]
     rows = [add]

@@ -65,6 +65,21 @@ class Range(Query):
         return ("range", self.field, self.start, self.end, self.with_start, self.with_end, self.boost)
 
 
+@dataclass(frozen=True, eq=False)
+class Prefix(Query):
+    """Documents with a term that begins so; all score alike."""
+
+    field: str
+    start: str
+    boost: float = 1.0
+
+    def __post_init__(self) -> None:
+        _boost(self.boost)
+
+    def key(self) -> tuple:
+        return ("prefix", self.field, self.start, self.boost)
+
+
 @dataclass(frozen=True, eq=False)
 class MatchAll(Query):
     boost: float = 1.0

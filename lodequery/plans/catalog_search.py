@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import classifier, index, search, snippets, spell
+from ..operators import classifier, index, language, search, snippets, spell
 from . import ast
 from .parser import Parser, past_of
 from .registry import POST_SQL, TOK_SQL, query, table
@@ -151,14 +151,15 @@ def sort_multi(spark, sf):
     return search.page(d, [("lang", "string", False), ("n_chars", "long", True)]).select("doc_id", "lang", "n_chars")
 
 
-_RANKED = _TWO + ", r AS (SELECT doc_id, source, row_number() OVER (ORDER BY round((sa + sb) / norm, 6) DESC, doc_id) AS rank FROM s WHERE ha AND hb), top AS (SELECT * FROM r WHERE rank <= 200), o AS (SELECT source, min(rank) AS open FROM top GROUP BY source), g AS (SELECT *, row_number() OVER (ORDER BY open) AS group_rank FROM o), l AS (SELECT coalesce(max(open) FILTER (group_rank = 10), 1000000) AS last FROM g)"
+_RANKED = _TWO + ", r AS (SELECT doc_id, source, row_number() OVER (ORDER BY round((sa + sb) / norm, 6) DESC, doc_id) AS rank FROM s WHERE ha AND hb), top AS (SELECT * FROM r WHERE rank <= 300), o AS (SELECT source, min(rank) AS open FROM top GROUP BY source), g AS (SELECT *, row_number() OVER (ORDER BY open) AS group_rank FROM o), l AS (SELECT coalesce(max(open) FILTER (group_rank = 10), 1000000) AS last FROM g)"
 
 
 def _ranked(spark, sf):
     from pyspark.sql import Window
 
-    hits = _found(search.search(indexed(spark, sf), "from tion").select("doc_id", "source", "score")).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    top = search.top_hits(hits, [("score", "double", True)], "doc_id", 200)
+    hits = search.search(indexed(spark, sf), "from tion").select("doc_id", "source", F.round("score", 6).alias("score"))
+    # As a page of ten groups of three rows looks ahead.
+    top = search.top_hits(hits, [("score", "double", True)], "doc_id", 3 * 10 * search.LOOKUP)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
 
 
@@ -170,7 +171,7 @@ def group_by_field_topn(spark, sf):
 @query(_RANKED + ", x AS (SELECT (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM g WHERE group_rank <= 10)::BIGINT AS opened, (SELECT least(last, (SELECT max(rank) FROM top)) FROM l)::BIGINT AS consumed) SELECT total, opened, consumed, CASE WHEN consumed // opened > 0 THEN total // (consumed // opened) ELSE 0 END::BIGINT AS estimate FROM x")
 def group_estimate(spark, sf):
     ranked = _ranked(spark, sf)
-    grouped = search.group_hits(ranked, F.col("source"), 10, 200)
+    grouped = search.group_hits(ranked, F.col("source"), 10, 3 * 10 * search.LOOKUP)
     total = search.search(indexed(spark, sf), "from tion").agg(F.count("*").alias("total"))
     most = ranked.agg(F.max("rank").alias("most"))
     o = grouped.agg(F.countDistinct("group_key").alias("opened"), F.max("rank").cast("long").alias("last")).crossJoin(most)
@@ -303,20 +304,10 @@ s AS (SELECT doc_id, lo.lang, round(sum(n * coalesce(prof.lp, lp0)), 4) AS s FRO
 SELECT doc_id, lang AS detected FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS k FROM s) WHERE k = 1"""
 )
 def lang_detect(spark, sf):
-    """Character trigram profiles (FN17). Distinct words are scored once, then documents sum their words."""
-    w = table(spark, sf, "documents").select("doc_id", "lang", F.explode(text.words(F.col("text"))).alias("w")).groupBy("doc_id", "lang", "w").agg(F.count("*").alias("m"))
-    padded = F.concat(F.lit(" "), "w", F.lit(" "))
-    trigrams = F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(padded, i, F.lit(3)))).alias("g")
-    by_lang = w.groupBy("lang", "w").agg(F.sum("m").alias("m"))
-    per = by_lang.select("lang", "m", trigrams).groupBy("lang", "g").agg(F.sum("m").alias("n"))
-    size = per.groupBy("lang").agg(F.sum("n").alias("total"))
-    prof = per.join(F.broadcast(size), "lang").groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.ln((F.col("n") + 1.0) / (F.col("total") + 1000.0))))).alias("lp"))
-    floor = size.agg(F.sort_array(F.collect_list(F.struct("lang", F.ln(1.0 / (F.col("total") + 1000.0)).alias("low")))).alias("langs"))
-    rows = by_lang.select("w").distinct().select("w", trigrams).join(prof, "g").crossJoin(F.broadcast(floor))
-    scored = rows.select("w", F.explode(F.transform("langs", lambda x: F.struct(x.lang.alias("of"), F.coalesce(F.element_at("lp", x.lang), x.low).alias("s")))).alias("x"))
-    scored = scored.groupBy("w", "x.of").agg(F.sum("x.s").alias("s"))
-    s = w.join(scored, "w").groupBy("doc_id", "of").agg(F.round(F.sum(F.col("m") * F.col("s")), 4).alias("s"))
-    return s.groupBy("doc_id").agg(F.min(F.struct((-F.col("s")).alias("s"), "of")).alias("best")).select("doc_id", F.col("best.of").alias("detected"))
+    """FN17: each language's profile from all its documents, then every document's likeliest language."""
+    d = table(spark, sf, "documents")
+    words = d.select("lang", F.explode(text.words(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("m"))
+    return language.detect(d, text.words(F.col("text")), *language.profiles(words))
 
 
 # Classifier

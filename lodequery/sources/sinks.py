@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_version(df: DataFrame, root: str, version: int | str) -> str:
-    """Write ``df`` aside and rename it to root/version (SNK1, SNK10, CRW18); an empty table is an error.
+def write_version(df: DataFrame, root: str, version: int | str, may_be_empty: bool = False) -> str:
+    """Write ``df`` aside and rename it to root/version (SNK1, SNK10, CRW18); an empty table is an error unless ``may_be_empty``.
 
     The rename is one step on a file system that renames at once; a reader sees the old version or the whole new one.
     """
     spark = df.sparkSession
     tmp, out = f"{root}/_tmp-{uuid.uuid4().hex}", f"{root}/{version}"
     df.write.parquet(tmp)
-    if spark.read.parquet(tmp).isEmpty():
+    if not may_be_empty and spark.read.parquet(tmp).isEmpty():
         raise ValueError("the new table is empty; the old one stays")
     jvm = spark.sparkContext._jvm
     a, b = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(out)

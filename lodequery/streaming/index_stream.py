@@ -34,7 +34,7 @@ def maintain(feed: DataFrame, root: str, checkpoint: str, modules: list[Callable
         for m in modules:
             batch = m(batch)
         base = spark.read.parquet(now) if now else spark.createDataFrame([], batch.drop("op", "seq").schema)
-        write_version(upsert(base, batch), root, epoch + 1)
+        write_version(upsert(base, batch), root, epoch + 1, may_be_empty=True)
         drop_old_versions(spark, root, keep)
 
     w = feed.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)

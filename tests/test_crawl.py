@@ -10,7 +10,7 @@ def test_pagerank_sums_to_one(spark):
     rng = random.Random(4)
     edges = {(f"n{a}", f"n{rng.randrange(12)}") for a in range(10) for _ in range(3)}
     nodes = spark.createDataFrame([(f"n{k}",) for k in range(12)], "node string")
-    got = crawl.pagerank(spark.createDataFrame(sorted(edges), "src string, dst string"), nodes, 60, every=100) if False else crawl.pagerank(spark.createDataFrame(sorted(edges), "src string, dst string"), nodes, 8)
+    got = crawl.pagerank(spark.createDataFrame(sorted(edges), "src string, dst string"), nodes, 8)
     total = got.agg(F.sum("score")).first()[0]
     assert abs(total - (12 * 0.85**8 + (1 - 0.85**8))) < 1e-6  # from 12 towards 1
 
@@ -80,11 +80,22 @@ def test_outlinks(spark):
 
 
 def test_token_probabilities(spark):
-    rows = [("a", 4, 0), ("b", 3, 1), ("c", 2, 2), ("d", 1, 3), ("e", 0, 4)]
+    rows = [("only_in", 9, 0), ("mostly_in", 9, 2), ("even", 5, 4), ("mostly_out", 1, 8), ("only_out", 0, 6)]
     counts = spark.createDataFrame(rows, "token string, doc_in long, doc_out long")
-    totals = spark.createDataFrame([(4, 4)], "n_in long, n_out long")
-    got = {r.token: r.prob for r in classifier.token_probabilities(counts, totals, (0, 0, 0), (0.43, 0.44)).collect()}
-    assert got == {"a": 0.99, "b": 0.75, "c": 0.5, "d": 0.25, "e": 0.01}
+    totals = spark.createDataFrame([(10, 8)], "n_in long, n_out long")
+    got = {r.token: r.prob for r in classifier.token_probabilities(counts, totals, (0, 0, 0), (0.45, 0.55)).collect()}
+    assert set(got) == {"only_in", "mostly_in", "mostly_out", "only_out"}  # 0.5 to 0.5 says nothing
+    assert got["only_in"] == 0.99 and got["only_out"] == 0.01
+    assert abs(got["mostly_in"] - 0.9 / (0.9 + 0.25)) < 1e-12 and abs(got["mostly_out"] - 0.1 / (0.1 + 1.0)) < 1e-12
+
+
+def test_size_limit_counts_what_stays(spark):
+    far = [(f"http://far{k}/", 0.0, 0.0, 9, 0, 0, [], []) for k in range(40)]
+    near = [(f"http://new{k}/", 0.0, 0.0, 1, 0, 0, [], []) for k in range(6)]
+    seen = [(f"http://old{k}/", 0.0, 0.0, 1, 0, 5, [], []) for k in range(10)]
+    cfg = crawl.Config(max_distance=2, max_retries=(5, 5, 5), size_limit=14, front_size=0)
+    got = {r.url for r in crawl.keep_pages(_pages(spark, far + near + seen), 1, cfg).collect()}
+    assert len([u for u in got if "new" in u]) == 5 and len([u for u in got if "old" in u]) == 10 and len(got) == 15
 
 
 def test_scores_and_overlay(spark):

@@ -16,6 +16,14 @@ def test_batches_fold_once(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(sinks.latest_version(spark, root)).collect())) == [(2, "b"), (3, "c")]
 
 
+def test_the_last_document_may_go(spark, tmp_path):
+    src, root, check = (str(tmp_path / x) for x in ("src", "root", "check"))
+    for rows in ([(1, "add", "a", 1)], [(1, "delete", None, 2)], [(2, "add", "b", 3)]):
+        spark.createDataFrame(rows, FEED).write.mode("append").parquet(src)
+        index_stream.maintain(index_stream.read_feed(spark, src, FEED), root, check, once=True).awaitTermination()
+    assert list(map(tuple, spark.read.parquet(sinks.latest_version(spark, root)).collect())) == [(2, "b")]
+
+
 def test_sessions(spark, tmp_path):
     src = str(tmp_path / "q")
     t = dt.datetime(2024, 1, 1)
