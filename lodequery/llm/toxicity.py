@@ -35,6 +35,8 @@ FEWEST = 4
 TRAIN_TEXTS = 1500
 #: A word's greatest kernel value over a landmark's own from which on it is learned by itself; others are one like another.
 LIKE = 0.5
+#: Clean texts whose pieces are counted at once: this bounds the driver's memory only.
+TEXTS = 200
 #: Different words of a text that its score depends on.
 WORST = 3
 BEGIN, FINISH, MORE = "\x02", "\x03", "\x04"
@@ -202,8 +204,8 @@ class _Pieces:
         self.doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         self.word = np.concatenate(docs) if docs else np.empty(0, np.int64)
 
-    def of(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, text, word, place) of every piece of every text's distinct words.
+    def of(self, length: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, text, word, place) of every piece of the distinct words of the texts from ``low`` to before ``high``.
 
         A word's beginning that more letters follow counts as a piece of its own too: a root with an ending; its place
         is given as -1 - place.
@@ -212,17 +214,19 @@ class _Pieces:
         for k in range(length):
             h = (h ^ self.code[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        many = np.maximum(self.size[self.word] - length + 1, 0)
+        a, z = np.searchsorted(self.doc, [low, high])
+        doc, word = self.doc[a:z].astype(np.int32), self.word[a:z].astype(np.int32)
+        many = np.maximum(self.size[word] - length + 1, 0)
         first = np.repeat(np.cumsum(many) - many, many)
-        place = np.repeat(self.start[self.word], many) + np.arange(many.sum()) - first
-        root = self.size[self.word] > length + 1
-        begin = self.start[self.word][root]
+        place = (np.repeat(self.start[word], many) + np.arange(many.sum()) - first).astype(np.int32)
+        root = self.size[word] > length + 1
+        begin = self.start[word][root].astype(np.int32)
         if not len(h):
-            return h, self.doc[:0], self.word[:0], place
+            return h, doc[:0], word[:0], place
         return (
             np.concatenate([h[place], ~h[begin]]),
-            np.concatenate([np.repeat(self.doc, many), self.doc[root]]),
-            np.concatenate([np.repeat(self.word, many), self.word[root]]),
+            np.concatenate([np.repeat(doc, many), doc[root]]),
+            np.concatenate([np.repeat(word, many), word[root]]),
             np.concatenate([place, -1 - begin]),
         )
 
@@ -257,15 +261,17 @@ def choose_landmarks(toxic: _Pieces, clean: _Pieces) -> list[str]:
         return []
     share, tested, rated = n1 / (n1 + n0), 0, []
     for length in PIECE:
-        h, doc, word, place = toxic.of(length)
+        h, doc, word, place = toxic.of(length, 0, n1)
         if not len(h):
             continue
         hashes, first, ids = np.unique(h, return_index=True, return_inverse=True)
         c = np.bincount(np.unique(ids * n1 + doc) // n1, minlength=len(hashes))
-        other, their = clean.of(length)[:2]
-        at = np.minimum(np.searchsorted(hashes, other), len(hashes) - 1)
-        ok = hashes[at] == other
-        q = np.bincount(np.unique(at[ok] * n0 + their[ok]) // n0, minlength=len(hashes))
+        q = np.zeros(len(hashes), np.int64)
+        for s in range(0, n0, TEXTS):
+            other, their = clean.of(length, s, s + TEXTS)[:2]
+            at = np.minimum(np.searchsorted(hashes, other), len(hashes) - 1)
+            ok = hashes[at] == other
+            q += np.bincount(np.unique(at[ok] * n0 + their[ok]) // n0, minlength=len(hashes))
         tested += int((c >= FEWEST).sum())
         r = np.where(c >= FEWEST, _ratio(c, q, share), 0.0)
         best = np.argsort(-r, kind="stable")[: max(int((r >= math.log(max(tested, 1))).sum()), 8 * LANDMARKS)]
