@@ -1,14 +1,15 @@
-"""Similarity join on word n-grams by MinHash LSH (operator 3).
+"""Similarity join on word n-grams by a MinHash LSH forest (operator 3).
 
-In place of a forest of sorted prefix tries this is banding at a fixed depth: from ``depth`` down, the longest prefix
-at which a pair at the threshold meets in some of the ``trees`` labels with the target recall, the same for all,
-computed before any data is seen. Texts of one prefix are candidates, and candidates are verified on their full
-shingle sets.
+A label of minima a trie; a trie is held as the table of its labels, a node as a prefix, and node sizes are counted by
+aggregates, as one sorted run would put a node of a third of all texts into one task. Every text starts at its longest
+prefix in each trie and shortens its prefixes, those first whose nodes stay small, until a pair at the threshold is
+missed with at most the given chance. The members of the nodes reached are candidates, verified on their full shingle sets.
 """
 
 from __future__ import annotations
 
 from functools import cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, id_filter, map_columns, materialize, only, split_by_filter
-from .linking import link, numbered, settle
+from .linking import HOT_ROWS, HOT_SHARE, SALTS, link, numbered, settle
 
 #: Words of a shingle, similarity, tries, hashes of a label, and the share of pairs at the threshold that may be missed.
 N, THRESHOLD, TREES, DEPTH, MISS = 5, 0.8, 28, 8, 2e-7
+#: Prefixes are shortened to the end where a node has so few members; levels of a label beyond the shortest prefix.
+NODE, LEVELS = 64, 4
 MEMO = 250_000
 _SEED = 20240229
 
 
 def shortest_prefix(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, miss: float = MISS) -> int:
-    """Shorten from ``depth`` until the chance that a pair at the threshold meets in no trie is at most ``miss``."""
+    """The prefix at which no text need shorten further: a pair at the threshold meets in no trie with a chance of at most ``miss``."""
     while depth > 1 and (1 - threshold**depth) ** trees > miss:
         depth -= 1
     if (1 - threshold**depth) ** trees > miss:
@@ -71,11 +74,12 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
     return np.unique(acc)
 
 
-def labels(sets: np.ndarray, trees: int = TREES, depth: int = DEPTH, use: int | None = None) -> np.ndarray:
-    """One 64-bit hash a trie: of the first ``use`` of the label's ``depth`` minima."""
+def labels(sets: np.ndarray, trees: int = TREES, depth: int = DEPTH, use: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A label a trie: a hash of its first ``use`` minima, and 16 bits of each of the next, at most LEVELS, first ones highest."""
     a, b = _hashes(trees, depth)
     use = depth if use is None else use
-    at = np.arange(trees * depth).reshape(trees, depth)[:, :use].ravel()
+    ends = min(depth, use + LEVELS)
+    at = np.arange(trees * depth).reshape(trees, depth)[:, :ends].ravel()
     low = np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
     a, b = a[at, None], b[at, None]
     for s in range(0, len(sets), 512):
@@ -84,11 +88,15 @@ def labels(sets: np.ndarray, trees: int = TREES, depth: int = DEPTH, use: int |
         x += b
         x *= np.uint64(0xD6E8FEB86659FD93)
         low = np.minimum(low, x.min(1))
-    out = np.arange(1, trees + 1, dtype=np.uint64)
-    for m in low.reshape(trees, use).T:
-        out = (out ^ m) * np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(31)
-    return out
+    low = low.reshape(trees, ends).T
+    head = np.arange(1, trees + 1, dtype=np.uint64)
+    for m in low[:use]:
+        head = (head ^ m) * np.uint64(0xBF58476D1CE4E5B9)
+        head ^= head >> np.uint64(31)
+    tail = np.zeros(trees, np.uint64)
+    for m in low[use:]:
+        tail = tail << np.uint64(16) | m * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)
+    return head, tail
 
 
 def jaccard(a: list[bytes], b: list[bytes] | None, threshold: float) -> np.ndarray:
@@ -131,18 +139,19 @@ def _signed(h: int) -> int:
 
 
 def signatures(df: DataFrame, doc_id: str, text: str, n: int, trees: int, depth: int, use: int) -> DataFrame:
-    """(id, t, a, b, size, label): the text's hash, the shingle set's 128-bit hash, its size and its label's prefix in each trie."""
-    new = [T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("size", T.LongType()), T.StructField("label", T.ArrayType(T.LongType()))]
+    """(id, t, a, b, size, head, tail): the text's hash, the shingle set's 128-bit hash, its size and its label in each trie."""
+    new = [T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("size", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("head", "tail"))]
 
     def make():
         only("shingles", _words.clear)
 
         def f(texts):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for t in texts:
                 s = shingles(t, n)
                 h = xxhash.xxh128_intdigest(s.tobytes())
-                for o, v in zip(out, (_signed(h >> 64), _signed(h & ((1 << 64) - 1)), len(s), labels(s, trees, depth, use).view(np.int64) if len(s) else None), strict=True):
+                head, tail = (x.view(np.int64) for x in labels(s, trees, depth, use)) if len(s) else (None, None)
+                for o, v in zip(out, (_signed(h >> 64), _signed(h & ((1 << 64) - 1)), len(s), head, tail), strict=True):
                     o.append(v)
             return out
 
@@ -152,6 +161,51 @@ def signatures(df: DataFrame, doc_id: str, text: str, n: int, trees: int, depth:
     return map_columns(src, ["text"], new, make, ["id", "t"])
 
 
+def _sized(rows: DataFrame, nodes: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` (id, ...) joined to ``nodes`` (``on``, n); the rows of a node with many of them are dealt to SALTS tasks."""
+    # Fewer than HOT_SHARE nodes a level can have more than a HOT_SHARE-th of the rows: a bounded broadcast.
+    big = F.col("n") > max(total // HOT_SHARE, HOT_ROWS)
+    hot = nodes.where(big).select(*on, F.lit(True).alias("hot"))
+    rows = rows.join(F.broadcast(hot), on, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("long")).drop("hot")
+    salts = F.when(big, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    nodes = nodes.withColumn("salt", F.explode(salts)).withColumn("salt", F.col("salt").cast("long"))
+    return rows.join(nodes, [*on, "salt"]).drop("salt")
+
+
+def forest(ends: DataFrame, total: int, levels: int, use: int, threshold: float, trees: int, miss: float) -> DataFrame:
+    """(id, key, bytes) of the nodes to which texts shorten their prefixes. ends: (id, bytes, head, tail), ``total`` rows.
+
+    A text takes in each trie the shortest prefix whose node has at most a bound of members, or its longest one, and
+    the least bound, a power of two from NODE, with which the chance to miss a pair at the threshold is at most
+    ``miss``. All members of a node that some text has shortened to meet there.
+    """
+    tops = materialize(ends.groupBy("head").agg(F.count("*").alias("n")).where("n > 1"), "tops")
+    meet = materialize(_sized(ends, tops, ["head"], total), "meet")
+    small = meet.where(F.col("n") <= NODE).select("id", F.col("head").alias("key"), "bytes")
+    wide = meet.where(F.col("n") > NODE)
+    rows = wide.count()
+    if not rows or not levels:
+        return small.union(wide.select("id", F.col("head").alias("key"), "bytes"))
+    prefix = F.expr(f"if(level = 0, 0L, shiftrightunsigned(tail, 16 * ({levels} - level)))")
+    path = wide.withColumnRenamed("n", "top").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("prefix", prefix)
+    node = ["head", "level", "prefix"]
+    nodes = materialize(path.groupBy(*node).agg(F.count("*").alias("n")), "nodes")
+    own = _sized(path, nodes, node, rows).repartition("id").groupBy("id", "head").agg(F.min("tail").alias("tail"), F.sort_array(F.collect_list(F.struct("level", "n"))).alias("sizes"))
+    own = own.groupBy("id").agg(F.collect_list(F.struct("head", "tail", F.col("sizes.n").alias("sizes"))).alias("tries"))
+    # A trie's share in the logarithm of the chance of a miss, by level; tries without a wide node are at the shortest prefix.
+    share = [log(1 - threshold ** (use + k)) for k in range(levels + 1)]
+    table = F.array(*map(F.lit, share))
+    level = lambda sizes, bound: F.least(F.size(F.filter(sizes, lambda s: s > bound)), F.lit(levels))
+    chance = lambda bound: F.lit(trees * share[0]) + F.aggregate("tries", F.lit(0.0), lambda acc, x: acc + F.get(table, level(x["sizes"], bound)) - F.lit(share[0]))
+    bounds = F.transform(F.sequence(F.lit(0), F.lit(50)), lambda k: F.lit(float(NODE)) * F.pow(F.lit(2.0), k))
+    bound = F.get(F.filter(bounds, lambda x: chance(x) <= F.lit(log(miss) + 1e-9)), F.lit(0))
+    asked = own.withColumn("bound", bound).select("bound", F.explode("tries").alias("x")).select(F.col("x.head").alias("head"), F.col("x.tail").alias("tail"), F.col("x.sizes").alias("sizes"), level(F.col("x.sizes"), F.col("bound")).alias("level"))
+    asked = materialize(asked.withColumn("prefix", prefix).groupBy(*node).agg(F.max(F.get("sizes", F.col("level"))).alias("n")), "asked")
+    reached = _sized(path, asked, node, rows).groupBy("id", "head").agg(F.min("level").alias("level"), F.min_by("prefix", "level").alias("prefix"), F.max("bytes").alias("bytes"))
+    key = F.when(F.col("level") == 0, F.col("head")).otherwise(F.xxhash64(*node))
+    return small.union(materialize(reached.select("id", key.alias("key"), "bytes"), "reached"))
+
+
 def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, miss: float = MISS) -> DataFrame:
     """One row a document: doc_id, n_links (other documents with Jaccard >= threshold), component_id, kept.
 
@@ -170,8 +224,9 @@ def _rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     sig = materialize(signatures(df, doc_id, text, n, trees, depth, use), "signatures")
     classes = sig.where("size > 0 and id is not null").groupBy("a", "b", "size").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = numbered(classes, "classes")
-    labelled = sig.where("size > 0").select(F.col("id").alias("rep"), "a", "b", "size", "label").join(classes.select("id", "rep", "a", "b", "size"), ["rep", "a", "b", "size"]).dropDuplicates(["id"])
-    keys = labelled.select("id", F.explode("label").alias("key"), (F.col("size") * 8).alias("bytes"))
+    labelled = sig.where("size > 0").select(F.col("id").alias("rep"), "a", "b", "size", "head", "tail").join(classes.select("id", "rep", "a", "b", "size"), ["rep", "a", "b", "size"]).dropDuplicates(["id"])
+    ends = labelled.select("id", (F.col("size") * 8).alias("bytes"), F.explode(F.arrays_zip("head", "tail")).alias("e")).select("id", "bytes", "e.head", "e.tail")
+    keys = forest(ends, classes.count() * trees, min(depth - use, LEVELS), use, threshold, trees, miss)
 
     def items(need: DataFrame) -> DataFrame:
         # Shingle sets of the candidates only: other texts are passed over while they are read, and no text is shuffled.

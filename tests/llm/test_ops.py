@@ -205,9 +205,11 @@ def brute_links(items, close):
     return {i: (n[i], comp[i], comp[i] == i) for i in items}
 
 
-def test_ngram_join(spark, monkeypatch):
+@pytest.mark.parametrize("node", [2, 64])
+def test_ngram_join(spark, monkeypatch, node):
     import random
 
+    monkeypatch.setattr(ngram_join, "NODE", node)  # nodes of more members are not shortened to without need
     monkeypatch.setattr(linking, "BLOCK_ROWS", 4)  # large groups are joined block by block
     rng = random.Random(3)
     base = [f"w{k}" for k in range(120)]
@@ -264,6 +266,42 @@ def test_prefix_is_shortened_to_the_recall():
         ngram_join.shortest_prefix(0.1, 2, 8, 1e-9)
 
 
+def test_forest_shortens_until_the_recall(spark, monkeypatch):
+    import random
+    from collections import Counter
+    from math import prod
+
+    monkeypatch.setattr(ngram_join, "NODE", 4)
+    rng = random.Random(8)
+    trees, levels, use, miss = 28, 4, 3, 2e-7
+    # Ids 0-59 share the head of one trie only, ids 60-99 those of all tries, ids 100-119 none.
+    labels = {(i, t): (t * 1000 + (999 if (i < 60 and t == 7) or 60 <= i < 100 else i), [rng.randrange(3) for _ in range(levels)]) for i in range(120) for t in range(trees)}
+    rows = [(i, 8, h, sum(x << 16 * (levels - 1 - k) for k, x in enumerate(tail))) for (i, t), (h, tail) in labels.items()]
+    ends = spark.createDataFrame(rows, "id long, bytes long, head long, tail long")
+    got = ngram_join.forest(ends, len(rows), levels, use, 0.8, trees, miss).collect()
+    met: dict = {}
+    for r in got:
+        met.setdefault(r.key, set()).add(r.id)
+    met_in = {frozenset(v) for v in met.values() if len(v) > 1}
+
+    size = Counter((h, tuple(tail[:k])) for h, tail in labels.values() for k in range(levels + 1))
+    asked = set()
+    for i in range(120):
+        mine = [labels[i, t] for t in range(trees)]
+        for k in range(50):
+            depth = [next((d for d in range(levels) if size[h, tuple(tail[:d])] <= 4 << k), levels) for h, tail in mine]
+            if prod(1 - 0.8 ** (use + d) for d in depth) <= miss:
+                break
+        assert k == 0 if not 60 <= i < 100 else k > 0
+        asked |= {(h, tuple(tail[:d])) for (h, tail), d in zip(mine, depth, strict=True)}
+    want: dict = {}
+    for (i, _), (h, tail) in labels.items():
+        node = next((h, tuple(tail[:d])) for d in range(levels + 1) if (h, tuple(tail[:d])) in asked)
+        want.setdefault(node, set()).add(i)
+    assert met_in == {frozenset(v) for v in want.values() if len(v) > 1}
+    assert max(len(v) for v in met_in if min(v) < 60) < 60  # the shared head is not paired as a whole
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 400])
 def test_sharding(spark, n):
     rows = [(k % 300 if k % 7 else None, None if k % 5 == 0 else f"t{k % 50}") for k in range(n)]
