@@ -161,12 +161,12 @@ def signatures(df: DataFrame, doc_id: str, text: str, n: int, trees: int, depth:
     return map_columns(src, ["text"], new, make, ["id", "t"])
 
 
-def _sized(rows: DataFrame, nodes: DataFrame, on: list[str], total: int) -> DataFrame:
-    """``rows`` (id, ...) joined to ``nodes`` (``on``, n); the rows of a node with many of them are dealt to SALTS tasks."""
+def _sized(rows: DataFrame, nodes: DataFrame, on: list[str], total: int, by: str = "id") -> DataFrame:
+    """``rows`` joined to ``nodes`` (``on``, n, ...); the rows of a node with many of them are dealt to SALTS tasks by the column ``by``."""
     # Fewer than HOT_SHARE nodes a level can have more than a HOT_SHARE-th of the rows: a bounded broadcast.
     big = F.col("n") > max(total // HOT_SHARE, HOT_ROWS)
     hot = nodes.where(big).select(*on, F.lit(True).alias("hot"))
-    rows = rows.join(F.broadcast(hot), on, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("long")).drop("hot")
+    rows = rows.join(F.broadcast(hot), on, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("long")).drop("hot")
     salts = F.when(big, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     nodes = nodes.withColumn("salt", F.explode(salts)).withColumn("salt", F.col("salt").cast("long"))
     return rows.join(nodes, [*on, "salt"]).drop("salt")
@@ -186,12 +186,16 @@ def forest(ends: DataFrame, total: int, levels: int, use: int, threshold: float,
     rows = wide.count()
     if not rows or not levels:
         return small.union(wide.select("id", F.col("head").alias("key"), "bytes"))
+    # Nodes are counted over different labels, each with its number of members, not over the members.
     prefix = F.expr(f"if(level = 0, 0L, shiftrightunsigned(tail, 16 * ({levels} - level)))")
-    path = wide.withColumnRenamed("n", "top").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("prefix", prefix)
-    node = ["head", "level", "prefix"]
-    nodes = materialize(path.groupBy(*node).agg(F.count("*").alias("n")), "nodes")
-    own = _sized(path, nodes, node, rows).repartition("id").groupBy("id", "head").agg(F.min("tail").alias("tail"), F.sort_array(F.collect_list(F.struct("level", "n"))).alias("sizes"))
-    own = own.groupBy("id").agg(F.collect_list(F.struct("head", "tail", F.col("sizes.n").alias("sizes"))).alias("tries"))
+    node, label = ["head", "level", "prefix"], ["head", "tail"]
+    some = materialize(wide.groupBy(*label).agg(F.max("n").alias("top"), F.count("*").alias("n")), "labels")
+    inner = some.withColumn("level", F.explode(F.array(*map(F.lit, range(1, levels))).cast("array<int>"))).withColumn("prefix", prefix)
+    nodes = materialize(inner.groupBy(*node).agg(F.sum("n").alias("n")), "nodes")
+    between = _sized(inner.select(*node, "tail"), nodes, node, rows, "tail").groupBy(*label).agg(F.sort_array(F.collect_list(F.struct("level", "n"))).alias("between"))
+    sizes = F.concat(F.array("top"), F.coalesce(F.col("between.n"), F.array().cast("array<bigint>")), F.array("n"))
+    own = _sized(wide.select("id", *label), some.join(between, label, "left").select(*label, "n", sizes.alias("sizes")), label, rows)
+    own = own.groupBy("id").agg(F.collect_list(F.struct(*label, "sizes")).alias("tries"))
     # A trie's share in the logarithm of the chance of a miss, by level; tries without a wide node are at the shortest prefix.
     share = [log(1 - threshold ** (use + k)) for k in range(levels + 1)]
     table = F.array(*map(F.lit, share))
@@ -201,9 +205,12 @@ def forest(ends: DataFrame, total: int, levels: int, use: int, threshold: float,
     bound = F.get(F.filter(bounds, lambda x: chance(x) <= F.lit(log(miss) + 1e-9)), F.lit(0))
     asked = own.withColumn("bound", bound).select("bound", F.explode("tries").alias("x")).select(F.col("x.head").alias("head"), F.col("x.tail").alias("tail"), F.col("x.sizes").alias("sizes"), level(F.col("x.sizes"), F.col("bound")).alias("level"))
     asked = materialize(asked.withColumn("prefix", prefix).groupBy(*node).agg(F.max(F.get("sizes", F.col("level"))).alias("n")), "asked")
-    reached = _sized(path, asked, node, rows).groupBy("id", "head").agg(F.min("level").alias("level"), F.min_by("prefix", "level").alias("prefix"), F.max("bytes").alias("bytes"))
-    key = F.when(F.col("level") == 0, F.col("head")).otherwise(F.xxhash64(*node))
-    return small.union(materialize(reached.select("id", key.alias("key"), "bytes"), "reached"))
+    # The shortest prefix of a label that any text has shortened to; where there is none, the whole label.
+    above = some.select(*label, F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")).withColumn("prefix", prefix)
+    above = _sized(above, asked, node, rows, "tail").groupBy(*label).agg(F.min("level").alias("level"), F.min_by("prefix", "level").alias("prefix"))
+    key = F.when(F.col("level") == 0, F.col("head")).otherwise(F.xxhash64("head", F.coalesce("level", F.lit(levels)), F.coalesce("prefix", "tail")))
+    reached = _sized(wide.select("id", *label, "bytes"), some.join(above, label, "left").select(*label, "n", key.alias("key")), label, rows)
+    return small.union(materialize(reached.select("id", "key", "bytes"), "reached"))
 
 
 def ngram_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, miss: float = MISS) -> DataFrame:
