@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -18,6 +21,9 @@ WS = "\t-\r \x85\xa0  -     　"
 #: Rows of one Arrow batch; texts may be long, so the default of 10,000 would not bound memory.
 ARROW_ROWS = 1000
 
+#: Share of the driver's greatest heap from which on it is collected between tables; it is garbage of planning that grows there.
+HEAP = 0.5
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -44,9 +50,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(spark)}/lq-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     written(spark, path)
+    give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Return to the system what the driver has freed: the allocators of its Python and its JVM keep it else, and it adds up over stages."""
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > HEAP * heap.maxMemory():
+        gc.collect()  # plans that only Python still holds
+        jvm.java.lang.System.gc()
+    with contextlib.suppress(Exception):  # a JVM without that command; it is reached by reflection, as its class is not public
+        command = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        command[0], command[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), command)
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def written(spark: SparkSession, path: str) -> None:
     """Have a folder deleted when the interpreter ends."""
     _made.append((spark, path))

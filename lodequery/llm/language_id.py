@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, map_columns, only
+from .common import give_back, held_out, map_columns, only
 
 #: Labelled texts that a language is learned from, about (the documented bound), and rounds of expectation maximisation.
 TRAIN_TEXTS, ROUNDS = 150, 2
@@ -178,7 +178,10 @@ def train(df: DataFrame, vocab: str, text: str = "text", lang: str = "lang", doc
     for b in table.to_batches():
         for k, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
             got[k][w] = n
-    return learn({k: c for k, c in got.items() if c}, vocabulary(vocab))
+    model = learn({k: c for k, c in got.items() if c}, vocabulary(vocab))
+    del got, table
+    give_back(df.sparkSession)
+    return model
 
 
 _memo: dict = {"key": None}

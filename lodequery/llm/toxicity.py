@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, map_columns, only
+from .common import give_back, held_out, map_columns, only
 
 #: Characters of a subsequence, the most that it may span, and the factor of each character of that stretch.
 ORDER, SPAN, DECAY = 4, 7, 0.6
@@ -366,6 +366,7 @@ def fit(docs: list[tuple[str, int]], rounds: int = 3, c: float = 1000.0) -> Mode
     scorer = Scorer(model)
     worst = np.array([(w + [bias] * WORST)[:WORST] for s in range(0, len(docs), 100) for w in scorer.worst([t for t, _ in docs[s : s + 100]])])
     model.mix = _logistic(_evidence(worst), np.array([float(y) for _, y in docs]))
+    _memo.update(key=None, words={})
     return model
 
 
@@ -438,7 +439,10 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     few = may.where(F.col("lq_draw") < part).select("lq_id", "lq_y")  # at most about 2 * texts rows: bounded
     src = df.select(F.col(doc_id).alias("lq_id"), F.col(text).alias("lq_t")).where(F.col("lq_t").isNotNull())
     rows = src.join(F.broadcast(few), "lq_id").select("lq_t", "lq_y").toArrow().to_pydict()
-    return fit(list(zip(rows["lq_t"], rows["lq_y"], strict=True)))
+    model = fit(list(zip(rows["lq_t"], rows["lq_y"], strict=True)))
+    del rows
+    give_back(df.sparkSession)
+    return model
 
 
 _memo: dict = {"key": None, "words": {}}

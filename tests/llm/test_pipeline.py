@@ -1,11 +1,14 @@
 """The corpus pipeline against a brute-force version, and its stages on awkward rows."""
 
 import random
+import re
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers as tokens
 import pytest
+from lodequery.llm import common, toxicity
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -109,3 +112,32 @@ def test_texts_stay_where_no_row_has_a_language(spark, tmp_path):
     assert out.schema.simpleString() == docs.schema.simpleString()
     want = [r for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)]
     assert sorted(map(str, out.collect())) == sorted(map(str, want)) and len(want) > 200
+
+
+def _held(pid="self"):
+    """MB of a process without mapped files."""
+    return int(re.search(r"\nPss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+
+
+def test_training_leaves_no_words_in_the_driver(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(["smelly"] * (k % 2) + ["".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(500)]), k % 2) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    assert docs.count() == 600
+    del rows
+    before = _held()
+    assert toxicity.train(docs, docs.select("doc_id", "toxic")).landmarks
+    assert not toxicity._memo["words"]
+    assert _held() - before < 40
+    docs.unpersist()
+
+
+def test_the_drivers_heap_is_given_back(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAP", 0.0, raising=False)
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    some = spark.sparkContext._jvm.java.nio.ByteBuffer.allocate(800 << 20)
+    full = heap.totalMemory()
+    assert some.capacity() == 800 << 20 and full > 800 << 20
+    del some
+    assert common.materialize(spark.range(5), "few").count() == 5
+    assert heap.totalMemory() < full - (300 << 20)
