@@ -44,8 +44,8 @@ def injected_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_cache(pages: DataFrame, cache: DataFrame) -> DataFrame:
-    """Pages whose content is in the cache (SRC6)."""
-    return pages.join(cache, "url")
+    """The cache's rows of the pages' URLs, each once however often a URL comes (SRC6)."""
+    return cache.join(pages.select("url"), "url", "left_semi")
 
 
 def fetch_with_retry(fetch, urls: DataFrame, tries: int = 3) -> DataFrame:

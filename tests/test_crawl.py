@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodequery.functions.urls import UrlPatterns
 from lodequery.operators import classifier, crawl, index, loganalysis, modules
+from lodequery.sources import tables
 
 
 def test_pagerank_sums_to_one(spark):
@@ -127,3 +128,9 @@ def test_last_session_counts(spark):
     rows = [(1, "u", "a", t), (2, "u", "b", t + dt.timedelta(minutes=29)), (3, "u", "c", t + dt.timedelta(minutes=59))]
     q = spark.createDataFrame(rows, "query_id long, ip string, query string, time timestamp")
     assert [tuple(r) for r in loganalysis.query_sequences(q, "ip", "time", "query", ["query_id"]).collect()] == [("a --> b", 1)]
+
+
+def test_a_url_twice_in_pages_and_cache(spark):
+    pages = spark.createDataFrame([("http://a/",), ("http://a/",), ("http://b/",)], "url string")
+    cache = spark.createDataFrame([("http://a/", 1), ("http://a/", 2), ("http://c/", 3)], "url string, content int")
+    assert sorted(map(tuple, tables.from_cache(pages, cache).collect())) == [("http://a/", 1), ("http://a/", 2)]
