@@ -152,3 +152,12 @@ def test_merge_keeps_every_row_of_the_first_table(spark):
     a = spark.createDataFrame([("http://a/", "1"), ("http://a/", "2")], "url string, origin string")
     b = spark.createDataFrame([("http://a/", "3"), ("http://b/", "4"), ("http://b/", "5")], "url string, origin string")
     assert sorted(map(tuple, crawl.merge_tables(a, b).collect())) == [("http://a/", "1"), ("http://a/", "2"), ("http://b/", "4"), ("http://b/", "5")]
+
+
+def test_trim_counts_the_links_of_a_url_that_comes_twice(spark):
+    rows = [("http://a/", 3.0, 0, [("http://x/", "x")]), ("http://a/", 6.0, 0, [("http://y/", "y"), ("http://x/", "z")])]
+    kids = crawl.children(spark.createDataFrame(rows, "url string, score double, distance long, links array<struct<url: string, anchor: string>>"))
+    kids = [(k.url, k.score, 0.0, k.distance, 0, 0, [k.anchor], [k.parent]) for k in kids.collect()]
+    got = {r.url: r for r in crawl.trim(_pages(spark, kids), spark.createDataFrame([(3,)], "web_size long")).collect()}
+    assert got["http://x/"].n_inlinks == 2 and abs(got["http://x/"].score - (0.05 + 0.85 * (3 / 3 + 6 / 3))) < 1e-9
+    assert abs(got["http://y/"].score - (0.05 + 0.85 * 2)) < 1e-9 and set(got) == {"http://x/", "http://y/"}
