@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .index import once_and_all
+
 SURE_IN, SURE_OUT, UNKNOWN = 0.99, 0.01, 0.5
 IGNORE, MIN_REQUIRED = (0.4, 0.6), (1, 1, 1)
+#: Tokens of a model up to which it is learned once, by way of the driver, and held by every executor; beyond, it is joined.
+HELD = 4_000_000
+
+
+def token_counts(docs: DataFrame, tokens: str, *labels: str) -> DataFrame:
+    """(token, doc_in, doc_out, tf_in, tf_out): documents and occurrences inside and outside the category (CLS1).
+
+    docs: one row a document and label. Of more labels than one, the names of the second's counts end in 1, and so on.
+    """
 
+    def of(name: str, k: int) -> list[Column]:
+        y, once = F.col(name) == 1, F.col("once") == 1
+        parts = {"doc_in": y & once, "doc_out": ~y & once, "tf_in": y & ~once, "tf_out": ~y & ~once}
+        return [F.count_if(c).alias(f"{n}{k or ''}") for n, c in parts.items()]
 
-def token_counts(docs: DataFrame, tokens: str, label: str, key: str = "doc_id") -> DataFrame:
-    """(token, doc_in, doc_out, tf_in, tf_out): documents and occurrences inside and outside the category (CLS1)."""
-    bag = docs.select(key, F.col(label).alias("y"), F.explode(tokens).alias("token")).groupBy("token", key).agg(F.first("y").alias("y"), F.count("*").alias("tf"))
-    y = F.col("y") == 1
-    return bag.groupBy("token").agg(
-        F.count_if(y).alias("doc_in"),
-        F.count_if(~y).alias("doc_out"),
-        F.coalesce(F.sum(F.when(y, F.col("tf"))), F.lit(0)).alias("tf_in"),
-        F.coalesce(F.sum(F.when(~y, F.col("tf"))), F.lit(0)).alias("tf_out"),
-    )
+    return once_and_all(docs, tokens, *labels).groupBy("token").agg(*[c for k, x in enumerate(labels) for c in of(x, k)])
 
 
 def probability(c: Column, n: Column, total_in: Column, total_out: Column, least: tuple[int, int, int] = MIN_REQUIRED) -> Column:
@@ -32,12 +38,23 @@ def probability(c: Column, n: Column, total_in: Column, total_out: Column, least
 
 def token_probabilities(counts: DataFrame, totals: DataFrame, least: tuple[int, int, int] = MIN_REQUIRED, ignore: tuple[float, float] = IGNORE) -> DataFrame:
     """(token, prob) for tokens that say something: 0 and the band ``ignore`` are dropped. ``totals``: one row n_in, n_out."""
-    rows = counts.crossJoin(F.broadcast(totals)).select("token", probability(F.col("doc_in"), F.col("doc_out"), F.col("n_in"), F.col("n_out"), least).alias("prob"))
-    return rows.where((F.col("prob") > 0) & ~F.col("prob").between(*ignore))
+    names = [c.replace("doc_in", "prob") for c in counts.columns if c.startswith("doc_in")]
+    at = [n.replace("prob", "") for n in names]
+    p = [probability(*[F.col(f"{c}{k}") for c in ("doc_in", "doc_out", "n_in", "n_out")], least).alias(n) for n, k in zip(names, at, strict=True)]
+    rows = counts.crossJoin(F.broadcast(totals)).select("token", *p)
+    told = [F.when((F.col(n) > 0) & ~F.col(n).between(*ignore), F.col(n)).alias(n) for n in names]
+    return rows.select("token", *told).where(F.coalesce(*names).isNotNull())
 
 
-def totals(docs: DataFrame, label: str) -> DataFrame:
-    return docs.agg(F.count_if(F.col(label) == 1).alias("n_in"), F.count_if(F.col(label) != 1).alias("n_out"))
+def totals(docs: DataFrame, *labels: str) -> DataFrame:
+    return docs.agg(*[F.count_if(c).alias(f"{n}{k or ''}") for k, x in enumerate(labels) for n, c in (("n_in", F.col(x) == 1), ("n_out", F.col(x) != 1))])
+
+
+def held(model: DataFrame, most: int | None = None) -> DataFrame:
+    """The model, learned now and broadcast to its joins if it has at most ``most`` tokens, so that no text's tokens are shuffled; else as it is."""
+    most = HELD if most is None else most
+    rows = model.limit(most + 1).toArrow()
+    return model if rows.num_rows > most else F.broadcast(model.sparkSession.createDataFrame(rows, model.schema))
 
 
 def overlay(model: DataFrame, mine: DataFrame) -> DataFrame:
@@ -53,12 +70,16 @@ def remove_tokens(model: DataFrame, tokens: DataFrame) -> DataFrame:
 def scores(docs: DataFrame, tokens: str, model: DataFrame, key: str = "doc_id", unknown: float = UNKNOWN) -> DataFrame:
     """(key, score): over a document's distinct tokens, the sigmoid of the summed log odds (CLS4); no tokens gives 0.5.
 
-    Tokens that the model lacks count as ``unknown``.
+    Tokens that the model lacks count as ``unknown``. Of a model of more labels, score1 is the second's, and so on.
     """
     rows = docs.select(key, F.explode_outer(F.array_distinct(tokens)).alias("token"))
-    p = F.when(F.col("token").isNull(), F.lit(0.5)).otherwise(F.coalesce("prob", F.lit(unknown)))
-    joined = rows.join(model, "token", "left").withColumn("odds", F.ln(p / (1 - p)))
-    return joined.groupBy(key).agg((1 / (1 + F.exp(-F.sum("odds")))).alias("score"))
+    joined = rows.join(model, "token", "left")
+
+    def of(prob: str) -> Column:
+        p = F.when(F.col("token").isNull(), F.lit(0.5)).otherwise(F.coalesce(prob, F.lit(unknown)))
+        return (1 / (1 + F.exp(-F.sum(F.ln(p / (1 - p)))))).alias(prob.replace("prob", "score"))
+
+    return joined.groupBy(key).agg(*[of(c) for c in model.columns if c != "token"])
 
 
 def overall(by_category: DataFrame, key: str = "doc_id", score: str = "score") -> DataFrame:

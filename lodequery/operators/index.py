@@ -22,6 +22,27 @@ def term_stats(posted: DataFrame, key: str = "doc_id") -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
 
 
+def merged_texts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys`` and the text, one row for equal keys: their texts follow each other. Only the keys are read to find such rows."""
+    rows = docs.select(*keys, text)
+    again = docs.groupBy(*keys).agg(F.count("*").alias("lq_n")).where("lq_n > 1").select(*keys)
+    if again.isEmpty():
+        return rows
+    many = rows.join(again, keys, "left_semi").groupBy(*keys).agg(F.concat_ws("\n", F.collect_list(text)).alias(text))
+    return rows.join(again, keys, "left_anti").unionByName(many)
+
+
+def once_and_all(docs: DataFrame, tokens: str, *more: str) -> DataFrame:
+    """(once, token, more): each token of a row with ``once`` 0, each distinct one with 1, to count both in one aggregate."""
+    both = F.posexplode(F.array(F.col(tokens), F.array_distinct(tokens))).alias("once", "lq_t")
+    return docs.select(*more, both).select(*more, "once", F.explode("lq_t").alias("token"))
+
+
+def term_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """As ``term_stats`` of the postings, from documents of one row each: what is shuffled are counts, not postings."""
+    return once_and_all(docs, tokens).groupBy(F.col("token").alias("term")).agg(F.count_if(F.col("once") == 1).alias("df"), F.count_if(F.col("once") == 0).alias("total_tf"))
+
+
 def last_operations(feed: DataFrame, key: str = "doc_id", seq: str = "seq") -> DataFrame:
     """The last operation of each document (IDX3), by an aggregate, so repeated keys combine before the shuffle."""
     rest = [c for c in feed.columns if c != key]

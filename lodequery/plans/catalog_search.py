@@ -16,6 +16,11 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return text.with_tokens(table(spark, sf, "documents"), "tokens", text.analyze(F.col("text")))
 
 
+def merged(docs: DataFrame, *keys: str) -> DataFrame:
+    """Documents with their tokens, one row for equal keys."""
+    return text.with_tokens(index.merged_texts(docs, list(keys)), "tokens", text.analyze(F.col("text"))).drop("text")
+
+
 def indexed(spark: SparkSession, sf: str, **how) -> search.Index:
     d = docs(spark, sf).withColumn("source_tokens", text.keyword(F.col("source")))
     return search.Index(d, {"text": "tokens", "source": "source_tokens"}, {"source": "source", "lang": "lang"}, {"n_chars": "n_chars"}, **how)
@@ -207,9 +212,13 @@ _STAT_SQL = POST_SQL + ", stats AS (SELECT term, count(*) AS df, sum(tf)::BIGINT
 _DICT_SQL = _STAT_SQL + ", dict AS (SELECT term, df, df - (SELECT quantile_cont(df, 0.9) FROM stats) + 1 AS boost FROM stats WHERE df >= (SELECT quantile_cont(df, 0.9) FROM stats))"
 
 
+def _stats(spark, sf):
+    return index.term_counts(merged(table(spark, sf, "documents"), "doc_id"))
+
+
 @query(f"WITH {_STAT_SQL} SELECT * FROM stats")
 def term_stats(spark, sf):
-    return index.term_stats(index.postings(docs(spark, sf)))
+    return _stats(spark, sf)
 
 
 @query(f"WITH {POST_SQL} SELECT doc_id, count(*) AS n_terms, sum(tf)::BIGINT AS n_tokens, max(tf) AS most FROM post GROUP BY doc_id")
@@ -219,7 +228,7 @@ def postings_summary(spark, sf):
 
 @query(f"WITH {_DICT_SQL} SELECT * FROM dict")
 def spell_dictionary(spark, sf):
-    return spell.dictionary(index.term_stats(index.postings(docs(spark, sf))))
+    return spell.dictionary(_stats(spark, sf))
 
 
 _GRAM_SQL = """sized AS (SELECT term, unnest(CASE WHEN length(term) > 5 THEN [3, 4] WHEN length(term) = 5 THEN [2, 3] ELSE [1, 2] END) AS size FROM {src} WHERE length(term) >= 3),
@@ -230,7 +239,7 @@ cut AS (SELECT term, size, unnest(range(1, length(term) - size + 2)) AS i FROM s
 
 @query(f"WITH {_DICT_SQL}, {_GRAM_SQL.format(src='dict', name='gram')} SELECT * FROM gram")
 def ngram_index(spark, sf):
-    return spell.grams(spell.dictionary(index.term_stats(index.postings(docs(spark, sf))))).select("term", "kind", "gram")
+    return spell.grams(spell.dictionary(_stats(spark, sf))).select("term", "kind", "gram")
 
 
 _ASKED = ["thredd", "tionn", "inng", "fron", "bleh", "erhaed"]
@@ -246,9 +255,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, df DE
 SELECT asked, term, score, df FROM r WHERE turn <= 5"""
 )
 def spell_candidates(spark, sf):
-    stats = index.term_stats(index.postings(docs(spark, sf)))
+    words = spell.dictionary(_stats(spark, sf))
     asked = spark.createDataFrame([(a,) for a in _ASKED], "asked string")
-    return spell.suggestions(asked, spell.grams(spell.dictionary(stats)), stats, 5).withColumn("score", F.round("score", 6))
+    return spell.suggestions(asked, spell.grams(words), words, 5).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -321,18 +330,23 @@ prob_{y} AS (SELECT token, p AS prob FROM (SELECT token, CASE WHEN doc_in = 0 AN
 score_{y} AS (SELECT doc_id, round(1 / (1 + exp(-sum(ln(coalesce(prob, 0.5) / (1 - coalesce(prob, 0.5)))))), 6) AS score FROM (SELECT doc_id, unnest(CASE WHEN len(t) = 0 THEN [NULL] ELSE list_distinct(t) END) AS token FROM tok) x LEFT JOIN prob_{y} USING (token) GROUP BY doc_id)"""
 
 
-def _labelled(spark, sf):
-    return docs(spark, sf).select("doc_id", "tokens").join(table(spark, sf, "labels"), "doc_id")
+def _texts(spark, sf):
+    """Labelled texts; only they are analysed."""
+    return table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id")
+
 
+def _labelled(spark, sf, *labels):
+    return merged(_texts(spark, sf), "doc_id", *labels)
 
-def _model(spark, sf, y):
-    lab = _labelled(spark, sf)
-    return classifier.token_probabilities(classifier.token_counts(lab, "tokens", y), classifier.totals(lab, y))
+
+def _model(spark, sf, *labels):
+    counts = classifier.token_counts(_labelled(spark, sf, *labels), "tokens", *labels)
+    return classifier.token_probabilities(counts, classifier.totals(_texts(spark, sf), *labels))
 
 
 @query(f"WITH {_LAB_SQL}, {_PROB.format(y='toxic')} SELECT token, doc_in, doc_out, tf_in, tf_out FROM cnt_toxic")
 def token_counts(spark, sf):
-    return classifier.token_counts(_labelled(spark, sf), "tokens", "toxic")
+    return classifier.token_counts(_labelled(spark, sf, "toxic"), "tokens", "toxic")
 
 
 @query(f"WITH {_LAB_SQL}, {_PROB.format(y='toxic')} SELECT token, round(prob, 6) AS prob FROM prob_toxic")
@@ -340,27 +354,37 @@ def token_probs(spark, sf):
     return _model(spark, sf, "toxic").withColumn("prob", F.round("prob", 6))
 
 
+def _scores(spark, sf, model, texts=None):
+    texts = docs(spark, sf) if texts is None else texts
+    s = classifier.scores(texts, "tokens", classifier.held(model))
+    return s.select("doc_id", *[F.round(c, 6).alias(c) for c in s.columns if c != "doc_id"])
+
+
 @query(f"WITH {_LAB_SQL}, {_PROB.format(y='toxic')} SELECT doc_id, score FROM score_toxic")
 def bayes_scores(spark, sf):
-    return classifier.scores(docs(spark, sf), "tokens", _model(spark, sf, "toxic")).withColumn("score", F.round("score", 6))
+    return _scores(spark, sf, _model(spark, sf, "toxic"))
 
 
 @query(f"WITH {_LAB_SQL}, {_PROB.format(y='toxic')}, {_PROB.format(y='quality')} SELECT doc_id, greatest(a.score, b.score) AS overall FROM score_toxic a JOIN score_quality b USING (doc_id)")
 def multi_class_overall(spark, sf):
-    d = docs(spark, sf)
-    both = classifier.scores(d, "tokens", _model(spark, sf, "toxic")).unionByName(classifier.scores(d, "tokens", _model(spark, sf, "quality")))
-    return classifier.overall(both.withColumn("score", F.round("score", 6)))
+    if _texts(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        s = _scores(spark, sf, _model(spark, sf, "toxic", "quality"))
+        return s.select("doc_id", F.greatest("score", "score1").alias("overall"))
+    # A document with several rows is merged by each label, so the labels are learned apart.
+    both = [_scores(spark, sf, _model(spark, sf, y)) for y in ("toxic", "quality")]
+    return classifier.overall(both[0].unionByName(both[1]))
 
 
 @query(f"WITH {_LAB_SQL}, {_PROB.format(y='toxic')} SELECT CASE WHEN toxic = 1 THEN 'uinc' ELSE 'unot' END || '_' || CASE WHEN score >= 0.5 THEN 'cinc' ELSE 'cnot' END AS bucket, count(*) AS n FROM lab JOIN score_toxic USING (doc_id) GROUP BY bucket")
 def confusion(spark, sf):
-    s = classifier.scores(docs(spark, sf), "tokens", _model(spark, sf, "toxic")).withColumn("score", F.round("score", 6))
+    lab = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id", "left_semi")
+    s = _scores(spark, sf, _model(spark, sf, "toxic"), text.with_tokens(lab, "tokens", text.analyze(F.col("text"))))
     return classifier.confusion(s.join(table(spark, sf, "labels"), "doc_id"), "toxic")
 
 
 @query(f"WITH {_LAB_SQL}, {_PROB.format(y='toxic')} SELECT doc_id, token, round(coalesce(prob, 0.5), 6) AS prob FROM (SELECT DISTINCT doc_id, unnest(t) AS token FROM lab) LEFT JOIN prob_toxic USING (token)")
 def why_tokens(spark, sf):
-    return classifier.why(_labelled(spark, sf), "tokens", _model(spark, sf, "toxic")).withColumn("prob", F.round("prob", 6))
+    return classifier.why(merged(_texts(spark, sf), "doc_id"), "tokens", classifier.held(_model(spark, sf, "toxic"))).withColumn("prob", F.round("prob", 6))
 
 
 @query(f"WITH {POST_SQL} SELECT term AS token, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM post GROUP BY term")
