@@ -13,9 +13,13 @@ EDIT, SILENT = 1.0, {"h": 0.2}
 
 
 def dictionary(stats: DataFrame, percentile: float = PERCENTILE) -> DataFrame:
-    """(term, df, boost) of the terms whose document frequency reaches the percentile (SPL1)."""
+    """(term, df, boost) of the terms whose document frequency reaches the percentile (SPL1).
+
+    The rows come out of a generator, so no filter on a term goes below the counts, and all that use them share one exchange.
+    """
     bar = stats.agg(F.percentile("df", percentile).alias("bar"))
-    return stats.crossJoin(F.broadcast(bar)).where("df >= bar").select("term", "df", (F.col("df") - F.col("bar") + 1).alias("boost"))
+    rows = stats.crossJoin(F.broadcast(bar)).where("df >= bar")
+    return rows.select(F.inline(F.array(F.struct("term", "df", (F.col("df") - F.col("bar") + 1).alias("boost")))))
 
 
 def gram_sizes(word: Column) -> tuple[Column, Column]:
