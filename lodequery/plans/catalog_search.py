@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import classifier, index, language, search, snippets, spell
+from ..operators import changes, classifier, index, language, search, snippets, spell
 from . import ast
 from .parser import Parser, past_of
 from .registry import POST_SQL, TOK_SQL, query, table
@@ -297,10 +297,7 @@ SELECT doc_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN t = p EL
 )
 def text_change(spark, sf):
     """Each document against the one before it of its source: is the text the same but for little?"""
-    from pyspark.sql import Window
-
-    d = docs(spark, sf).select("doc_id", "tokens", F.lag("tokens").over(Window.partitionBy("source").orderBy("doc_id")).alias("before")).where("before is not null")
-    return d.select("doc_id", text.unchanged(F.col("tokens"), F.col("before")).alias("same"))
+    return changes.changes(table(spark, sf, "documents"))
 
 
 @query(

@@ -36,3 +36,31 @@ def test_a_model_that_is_not_held_gives_the_same_scores(spark):
     for k, y in enumerate("pq"):
         alone = classifier.token_probabilities(classifier.token_counts(docs, "t", y), classifier.totals(docs, y))
         assert sorted((r[0], r[1 + k]) for r in got[0]) == sorted(map(tuple, classifier.scores(docs, "t", alone).collect()))
+
+
+def test_changes_compare_only_texts_that_may_be_the_same(spark, monkeypatch):
+    from lodequery.functions import text
+    from lodequery.operators import changes
+
+    long = " ".join(f"w{k}" for k in range(200))
+    rows = [(1, "s", long), (2, "s", long + " more"), (3, "s", "other words here"), (4, "s", "ab"), (5, "s", "ab"), (6, "s", ""), (7, "s", ""), (1, "t", "x"), (2, None, "ab cd"), (3, None, "ab cd")]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = [(2, True), (3, False), (3, True), (4, False), (5, True), (6, False), (7, True)]
+    compared = []
+    monkeypatch.setattr(text, "unchanged", lambda a, b, k, t, f=text.unchanged: compared.append(1) or f(a, b, k, t))
+    for held in (100, 0):
+        assert sorted(map(tuple, changes.changes(d, held=held).collect())) == want
+    assert compared
+    few = [(k, "s", " ".join(f"w{k}x{j}" for j in range(50))) for k in range(50)]
+    s = changes.sketches(spark.createDataFrame(few, "doc_id long, source string, text string"), changes.shingle_hashes(F.split("text", " "), 3), ["doc_id"]).collect()
+    assert all(sum(r.sketch) == 48 for r in s)
+    pairs = spark.createDataFrame([(a.sketch, b.sketch) for a, b in zip(s, s[1:])], "a array<int>, b array<int>")
+    assert pairs.where(changes.may_be_same(F.col("a"), F.col("b"), 0.95)).count() == 0
+
+
+def test_text_change_shuffles_no_tokens(spark):
+    df = entry_module.queries()["text_change"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    windows = plan[plan.index("Window"):].split("+- Exchange hashpartitioning(source")[0]
+    assert "tokens" not in windows
