@@ -196,13 +196,23 @@ o AS (SELECT src, count(*) AS n_out FROM e GROUP BY src), w AS (SELECT count(*)
 @query(_rank_sql(4))
 def pagerank_k(spark, sf):
     li, o, c, s = (table(spark, sf, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
-    a = F.concat(F.lit("c"), "c_nationkey", F.lit("_"), F.col("o_custkey") % 100)
-    b = F.concat(F.lit("s"), "s_nationkey", F.lit("_"), "l_suppkey")
-    j = j.select(a.alias("a"), b.alias("b"), (F.col("l_quantity") > 25).alias("back")).distinct()
-    edges = j.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(j.where("back").select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    return crawl.pagerank(edges, nodes, 4).withColumn("score", F.round("score", 6))
+    bought = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_nationkey", (F.col("o_custkey") % 100).alias("k"))
+    li = li.select("l_orderkey", "l_suppkey", (F.col("l_quantity") > 25).alias("back"))
+    j = li.join(bought, li.l_orderkey == bought.o_orderkey).groupBy("c_nationkey", "k", "l_suppkey").agg(F.max("back").alias("back"))
+    s = s.select("s_nationkey", "s_suppkey").distinct()
+    low, high, most, n = s.agg(F.min("s_nationkey"), F.max("s_nationkey"), F.max(F.abs("s_suppkey")), F.count("*")).first()
+    j = j.join(F.broadcast(s) if n <= crawl.HELD else s, j.l_suppkey == s.s_suppkey)
+    a, b = F.concat(F.lit("c"), "c_nationkey", F.lit("_"), "k"), F.concat(F.lit("s"), "s_nationkey", F.lit("_"), "l_suppkey")
+    name = F.col("node")
+    if most is not None and low is not None and low >= 0 and high < 4096 and most < 1 << 50:  # a node is a number: its parts, and at last whose it is
+        a = F.shiftleft(F.col("c_nationkey").cast("long"), 9).bitwiseOR(((F.col("k") + 100) * 2).cast("long"))
+        b = F.shiftleft(F.col("l_suppkey").cast("long"), 13).bitwiseOR((F.col("s_nationkey") * 2 + 1).cast("long"))
+        part = lambda at, bits: F.shiftright("node", at).bitwiseAND(F.lit((1 << bits) - 1))
+        of_c = F.concat(F.lit("c"), F.shiftright("node", 9), F.lit("_"), part(1, 8) - 100)
+        name = F.when(part(0, 1) == 0, of_c).otherwise(F.concat(F.lit("s"), part(1, 12), F.lit("_"), F.shiftright("node", 13)))
+    both = F.array(F.struct(a.alias("src"), b.alias("dst")), F.when(F.col("back"), F.struct(b.alias("src"), a.alias("dst"))))
+    edges = j.select(F.explode(F.array_compact(both)).alias("e")).select("e.src", "e.dst")
+    return crawl.pagerank(edges, None, 4).select(name.alias("node"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_CHILD_SQL}, par AS (SELECT DISTINCT url, parent FROM child), k AS (SELECT url, count(*) AS n FROM par GROUP BY url) SELECT parent AS url, -1.0::DOUBLE AS score, round(CASE WHEN length(url) % 5 = 0 THEN 0.5 ELSE 0 END / n, 6) AS anti_score FROM par JOIN k USING (url) WHERE length(url) % 5 = 0")

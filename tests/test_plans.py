@@ -64,3 +64,24 @@ def test_text_change_shuffles_no_tokens(spark):
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     windows = plan[plan.index("Window"):].split("+- Exchange hashpartitioning(source")[0]
     assert "tokens" not in windows
+
+
+def test_ranks_of_many_nodes_and_a_plan_that_does_not_double(spark):
+    from lodequery.operators import crawl
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 1), (3, 4)], "src long, dst long")
+    got = [sorted((r.node, round(r.score, 9)) for r in crawl.pagerank(edges, None, 6, held=held).collect()) for held in (10, 0)]
+    score = dict.fromkeys((1, 2, 3, 4), 1.0)
+    for _ in range(6):
+        given = {1: score[3] / 2, 2: score[1] / 2, 3: score[2] + score[1] / 2, 4: score[3] / 2 + score[4]}
+        score = {k: 0.15 / 4 + 0.85 * v for k, v in given.items()}
+    assert got[0] == got[1] == sorted((k, round(v, 9)) for k, v in score.items())
+    size = [len(crawl.pagerank(edges, None, k)._jdf.queryExecution().analyzed().toString()) for k in (2, 4)]
+    assert size[1] < 2.5 * size[0]
+
+
+def test_no_round_of_pagerank_k_sorts_its_edges(spark):
+    df = entry_module.queries()["pagerank_k"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "src" in plan and not [x for x in plan.splitlines() if "Sort [src" in x or "hashpartitioning(src" in x]
