@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,8 @@ ONE, MORE = 1.0, 1000.0
 #: Rows of the profiles (language and trigram) up to which they are held by every worker; beyond, a join finds them.
 HELD = 1_000_000
 MEMO = 200_000
+#: Texts that are scored at a time.
+ROWS = 2000
 
 
 def _trigrams(word: str) -> Column:
@@ -35,40 +38,46 @@ def detect(docs: DataFrame, words: Column, known: DataFrame, low: DataFrame, key
     Documents without words have no row. Profiles of at most ``held`` rows go to every worker and texts are scored as they
     are read; greater ones are joined to the texts' distinct words.
     """
-    some = known.limit(held + 1).count()
-    return _scan(docs, words, known, low, key) if some <= held else _join(docs, words, known, low, key)
+    rows = known.join(F.broadcast(low), "lang").select("lang", "g", "lp", "low").limit(held + 1).toArrow()
+    return _scan(docs, words, rows, key) if rows.num_rows <= held else _join(docs, words, known, low, key)
 
 
-def _scan(docs: DataFrame, words: Column, known: DataFrame, low: DataFrame, key: str) -> DataFrame:
-    floor = {r["lang"]: r["low"] for r in low.collect()}
+def _scan(docs: DataFrame, words: Column, rows: pa.Table, key: str) -> DataFrame:
+    """``rows``: (lang, g, lp, low), learned by one job."""
+    floor = dict(zip(rows.column("lang").to_pylist(), rows.column("low").to_pylist(), strict=True))
     langs = sorted(floor)
     base = np.array([floor[x] for x in langs])
-    table = known.toArrow()
     at = {x: k for k, x in enumerate(langs)}
-    prof: dict[str, np.ndarray] = {}
-    for g, lang, lp in zip(*(table.column(c).to_pylist() for c in ("g", "lang", "lp")), strict=True):
-        prof.setdefault(g, base.copy())[at[lang]] = lp
-    shared = docs.sparkSession.sparkContext.broadcast(prof)
+    grams = {g: k for k, g in enumerate(dict.fromkeys(rows.column("g").to_pylist()))}
+    lps = np.tile(base, (len(grams) + 1, 1))  # the last row is that of a trigram not seen
+    for g, lang, lp in zip(*(rows.column(c).to_pylist() for c in ("g", "lang", "lp")), strict=True):
+        lps[grams[g], at[lang]] = lp
+    shared = docs.sparkSession.sparkContext.broadcast((grams, lps))
     schema = T.StructType([docs.schema[key], T.StructField("detected", T.StringType())])
 
     def run(batches):
-        get, seen = shared.value.get, {}
+        grams, lps = shared.value
+        get, none = grams.get, len(grams)
+        seen: dict[str, int] = {}
+        known = np.zeros((0, len(langs)))
 
-        def word(w: str) -> np.ndarray:
-            padded = f" {w} "
-            return np.sum([get(padded[i : i + 3], base) for i in range(len(w))], 0)
+        def sums(new: list[str]) -> np.ndarray:
+            sizes = np.fromiter(map(len, new), np.int64, len(new))
+            at = np.fromiter((get(p[i : i + 3], none) for w in new for p in (f" {w} ",) for i in range(len(w))), np.int64)
+            return np.add.reduceat(lps[at], np.cumsum(sizes) - sizes, 0)
 
-        for b in batches:
+        for b in (x.slice(k, ROWS) for x in batches for k in range(0, x.num_rows, ROWS)):
             lists = b.column(1)
             flat = lists.flatten().dictionary_encode()
             names = flat.dictionary.to_pylist()
             if len(seen) > MEMO:
-                seen.clear()
-            for w in names:
-                if w not in seen:
-                    seen[w] = word(w)
-            scores = np.array([seen[w] for w in names]).reshape(len(names), len(langs))
-            sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+                seen, known = {}, known[:0]
+            new = [w for w in names if w not in seen]
+            parts = [sums(new[k : k + MEMO]) for k in range(0, len(new), MEMO)]
+            seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
+            known = np.concatenate([known, *parts])
+            scores = known[[seen[w] for w in names]] if names else known[:0]
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             has = np.flatnonzero(sizes)
             index = flat.indices.to_numpy()
             starts = (np.cumsum(sizes) - sizes)[has]

@@ -85,3 +85,21 @@ def test_no_round_of_pagerank_k_sorts_its_edges(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "src" in plan and not [x for x in plan.splitlines() if "Sort [src" in x or "hashpartitioning(src" in x]
+
+
+def test_profiles_are_learned_by_one_job(spark):
+    from lodequery.functions import text
+    from lodequery.operators import language
+
+    d = spark.createDataFrame([(1, "en", "the cat"), (2, "fr", "le chat")], "doc_id long, lang string, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    seen = d.mapInArrow(count, d.schema)
+    words = seen.select("lang", F.explode(text.words(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("m"))
+    found = language.detect(d, text.words(F.col("text")), *language.profiles(words))
+    assert sorted(map(tuple, found.collect())) == [(1, "en"), (2, "fr")] and read.value == 2
