@@ -92,10 +92,10 @@ def matches(q: ast.Query, ix: Index) -> Column:
     raise TypeError(f"can't search for {q!r}")
 
 
-def document_frequencies(ix: Index, q: ast.Query) -> DataFrame:
-    """One row: n documents and df_k, the documents with the k-th distinct (field, term) of the query."""
+def document_frequencies(ix: Index, q: ast.Query, *more: Column) -> DataFrame:
+    """One row: n documents and df_k, the documents with the k-th distinct (field, term) of the query; and ``more`` counts."""
     leaves = list(dict.fromkeys(_leaves(q)))
-    return ix.docs.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains(ix.tokens[f], t)).alias(f"df_{k}") for k, (f, t) in enumerate(leaves)])
+    return ix.docs.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains(ix.tokens[f], t)).alias(f"df_{k}") for k, (f, t) in enumerate(leaves)], *more)
 
 
 def _score(q: ast.Query, ix: Index, idf: dict, boost: float = 1.0) -> tuple[Column, Column, list[Column]]:
@@ -123,22 +123,36 @@ def _score(q: ast.Query, ix: Index, idf: dict, boost: float = 1.0) -> tuple[Colu
     return F.lit(b), matches(q, ix).cast("int"), [F.lit(b * b)]
 
 
-def search(ix: Index, query: ast.Query | str, where: object = None) -> DataFrame:
+def search_and_count(ix: Index, query: ast.Query | str) -> tuple[DataFrame, int]:
+    """As ``search``, and the number of matches, which the scan for the document frequencies counts: it runs now, and once."""
+    q = resolve(ast.Lazy(query) if isinstance(query, str) else query, ix.parser)
+    stats = document_frequencies(ix, _scored(q)[0], F.count_if(matches(q, ix)).alias("found"))
+    row = stats.first()
+    held = ix.docs.sparkSession.createDataFrame([row], stats.schema)
+    return search(ix, q, stats=held.drop("found")), row["found"]
+
+
+def _scored(q: ast.Query) -> tuple[ast.Query, list[ast.Payload]]:
+    """The part of a tree whose leaves are scored, and the payload parts of an And, which multiply it."""
+    parts = [p for p in q.parts if isinstance(p, ast.Payload)] if isinstance(q, ast.And) else []
+    if not parts:
+        return q, []
+    left = tuple(p for p in q.parts if not isinstance(p, ast.Payload))
+    return ast.And(left, q.boost) if len(left) > 1 else left[0] if left else ast.MatchAll(), parts
+
+
+def search(ix: Index, query: ast.Query | str, where: object = None, stats: DataFrame | None = None) -> DataFrame:
     """The rows that match, with ``score`` (SCR1: coord, tf, idf, boosts and length norm; norms are not quantised).
 
-    Payload parts of an And multiply the score of the others by their scorer.
+    Payload parts of an And multiply the score of the others by their scorer. ``stats``: document frequencies, if they
+    are there already.
     """
     q = resolve(ast.Lazy(query) if isinstance(query, str) else query, ix.parser)
-    factors: list[Column] = []
-    if isinstance(q, ast.And) and any(isinstance(p, ast.Payload) for p in q.parts):
-        factors = [ix.scorers.get(p.field, lambda c: F.lit(1.0))(F.col(ix.payloads[p.field])) for p in q.parts if isinstance(p, ast.Payload)]
     match = matches(q, ix)
-    rest = q
-    if factors:
-        left = tuple(p for p in q.parts if not isinstance(p, ast.Payload))
-        rest = ast.And(left, q.boost) if len(left) > 1 else left[0] if left else ast.MatchAll()
+    rest, payloads = _scored(q)
+    factors = [ix.scorers.get(p.field, lambda c: F.lit(1.0))(F.col(ix.payloads[p.field])) for p in payloads]
     leaves = list(dict.fromkeys(_leaves(rest)))
-    stats = document_frequencies(ix, rest)
+    stats = document_frequencies(ix, rest) if stats is None else stats
     idf = {x: 1 + F.ln(F.col("lq_n") / (F.col(f"lq_df_{k}") + 1)) for k, x in enumerate(leaves)}
     total, _, weights = _score(rest, ix, idf)
     norm = F.sqrt(reduce(lambda a, b: a + b, weights))

@@ -159,10 +159,11 @@ def sort_multi(spark, sf):
 _RANKED = _TWO + ", r AS (SELECT doc_id, source, row_number() OVER (ORDER BY round((sa + sb) / norm, 6) DESC, doc_id) AS rank FROM s WHERE ha AND hb), top AS (SELECT * FROM r WHERE rank <= 300), o AS (SELECT source, min(rank) AS open FROM top GROUP BY source), g AS (SELECT *, row_number() OVER (ORDER BY open) AS group_rank FROM o), l AS (SELECT coalesce(max(open) FILTER (group_rank = 10), 1000000) AS last FROM g)"
 
 
-def _ranked(spark, sf):
+def _ranked(spark, sf, hits=None):
     from pyspark.sql import Window
 
-    hits = search.search(indexed(spark, sf), "from tion").select("doc_id", "source", F.round("score", 6).alias("score"))
+    hits = search.search(indexed(spark, sf), "from tion") if hits is None else hits
+    hits = hits.select("doc_id", "source", F.round("score", 6).alias("score"))
     # As a page of ten groups of three rows looks ahead.
     top = search.top_hits(hits, [("score", "double", True)], "doc_id", 3 * 10 * search.LOOKUP)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
@@ -175,12 +176,13 @@ def group_by_field_topn(spark, sf):
 
 @query(_RANKED + ", x AS (SELECT (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM g WHERE group_rank <= 10)::BIGINT AS opened, (SELECT least(last, (SELECT max(rank) FROM top)) FROM l)::BIGINT AS consumed) SELECT total, opened, consumed, CASE WHEN consumed // opened > 0 THEN total // (consumed // opened) ELSE 0 END::BIGINT AS estimate FROM x")
 def group_estimate(spark, sf):
-    ranked = _ranked(spark, sf)
+    from pyspark.sql import Window
+
+    hits, total = search.search_and_count(indexed(spark, sf), "from tion")
+    ranked = _ranked(spark, sf, hits).withColumn("most", F.max("rank").over(Window.partitionBy()))
     grouped = search.group_hits(ranked, F.col("source"), 10, 3 * 10 * search.LOOKUP)
-    total = search.search(indexed(spark, sf), "from tion").agg(F.count("*").alias("total"))
-    most = ranked.agg(F.max("rank").alias("most"))
-    o = grouped.agg(F.countDistinct("group_key").alias("opened"), F.max("rank").cast("long").alias("last")).crossJoin(most)
-    o = o.select("opened", F.when(F.col("opened") < 10, F.col("most")).otherwise(F.col("last")).cast("long").alias("consumed")).crossJoin(total)
+    o = grouped.agg(F.countDistinct("group_key").alias("opened"), F.max("rank").cast("long").alias("last"), F.max("most").alias("most")).withColumn("total", F.lit(total).cast("long"))
+    o = o.select("total", "opened", F.when(F.col("opened") < 10, F.col("most")).otherwise(F.col("last")).cast("long").alias("consumed"))
     step = F.floor(F.col("consumed") / F.col("opened"))
     return o.select("total", "opened", "consumed", F.when(step > 0, F.floor(F.col("total") / step)).otherwise(0).cast("long").alias("estimate"))
 

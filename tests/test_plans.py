@@ -8,7 +8,7 @@ from lodequery.operators import classifier, index
 
 SF = "/root/testdata/sf0.001"
 #: Queries whose plan analyses texts once, and shuffles no row a document and term.
-ONCE = ["multi_class_overall", "spell_candidates", "confusion", "ngram_index", "bayes_scores", "why_tokens", "spell_dictionary"]
+ONCE = ["multi_class_overall", "spell_candidates", "confusion", "ngram_index", "bayes_scores", "why_tokens", "spell_dictionary", "group_estimate"]
 
 
 @pytest.mark.parametrize("name", ONCE)
