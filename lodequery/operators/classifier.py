@@ -10,7 +10,7 @@ from .index import once_and_all
 SURE_IN, SURE_OUT, UNKNOWN = 0.99, 0.01, 0.5
 IGNORE, MIN_REQUIRED = (0.4, 0.6), (1, 1, 1)
 #: Tokens of a model up to which it is learned once, by way of the driver, and held by every executor; beyond, it is joined.
-HELD = 4_000_000
+HELD = 3_000_000
 
 
 def token_counts(docs: DataFrame, tokens: str, *labels: str) -> DataFrame:

@@ -329,9 +329,18 @@ prob_{y} AS (SELECT token, p AS prob FROM (SELECT token, CASE WHEN doc_in = 0 AN
 score_{y} AS (SELECT doc_id, round(1 / (1 + exp(-sum(ln(coalesce(prob, 0.5) / (1 - coalesce(prob, 0.5)))))), 6) AS score FROM (SELECT doc_id, unnest(CASE WHEN len(t) = 0 THEN [NULL] ELSE list_distinct(t) END) AS token FROM tok) x LEFT JOIN prob_{y} USING (token) GROUP BY doc_id)"""
 
 
+#: Labels up to which they are broadcast, so that no text is shuffled to be labelled.
+LABELS = 2_000_000
+
+
+def _labels(spark, sf):
+    lab = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    return F.broadcast(lab) if lab.count() <= LABELS else lab
+
+
 def _texts(spark, sf):
     """Labelled texts; only they are analysed."""
-    return table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id")
+    return table(spark, sf, "documents").select("doc_id", "text").join(_labels(spark, sf), "doc_id")
 
 
 def _labelled(spark, sf, *labels):
@@ -376,9 +385,9 @@ def multi_class_overall(spark, sf):
 
 @query(f"WITH {_LAB_SQL}, {_PROB.format(y='toxic')} SELECT CASE WHEN toxic = 1 THEN 'uinc' ELSE 'unot' END || '_' || CASE WHEN score >= 0.5 THEN 'cinc' ELSE 'cnot' END AS bucket, count(*) AS n FROM lab JOIN score_toxic USING (doc_id) GROUP BY bucket")
 def confusion(spark, sf):
-    lab = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id", "left_semi")
+    lab = table(spark, sf, "documents").select("doc_id", "text").join(_labels(spark, sf), "doc_id", "left_semi")
     s = _scores(spark, sf, _model(spark, sf, "toxic"), text.with_tokens(lab, "tokens", text.analyze(F.col("text"))))
-    return classifier.confusion(s.join(table(spark, sf, "labels"), "doc_id"), "toxic")
+    return classifier.confusion(s.join(_labels(spark, sf), "doc_id"), "toxic")
 
 
 @query(f"WITH {_LAB_SQL}, {_PROB.format(y='toxic')} SELECT doc_id, token, round(coalesce(prob, 0.5), 6) AS prob FROM (SELECT DISTINCT doc_id, unnest(t) AS token FROM lab) LEFT JOIN prob_toxic USING (token)")

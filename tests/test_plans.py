@@ -103,3 +103,15 @@ def test_profiles_are_learned_by_one_job(spark):
     words = seen.select("lang", F.explode(text.words(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("m"))
     found = language.detect(d, text.words(F.col("text")), *language.profiles(words))
     assert sorted(map(tuple, found.collect())) == [(1, "en"), (2, "fr")] and read.value == 2
+
+
+def test_labelled_texts_are_not_shuffled(spark):
+    from lodequery.plans import catalog_search
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog_search._texts(spark, SF)
+        assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
